@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import cascade
+from . import cascade, decontaminate, licences, linkgraph, sharding
 
 QUERIES = {
+    "op3_licence_scan": licences.op3_licence_scan,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_url_filters": linkgraph.op5_url_filters,
+    "op6_sharding": sharding.op6_sharding,
     "op8_quality_rules": cascade.op8_quality_rules,
 }
 
 ORACLES = {
+    "op3_licence_scan": licences.OP3_SQL,
+    "op4_decontaminate": decontaminate.OP4_SQL,
+    "op5_url_filters": linkgraph.OP5_SQL,
     "op8_quality_rules": cascade.OP8_SQL,
 }
