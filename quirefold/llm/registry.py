@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, cascade, decontaminate, lattice_lm, licences, linkgraph, sharding, warc
+from . import bpe, cascade, decontaminate, lattice_lm, licences, linkgraph, sharding, substring, warc
 
 QUERIES = {
+    "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_licence_scan": licences.op3_licence_scan,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_url_filters": linkgraph.op5_url_filters,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": substring.OP2_SQL,
     "op3_licence_scan": licences.OP3_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_url_filters": linkgraph.OP5_SQL,
