@@ -46,6 +46,10 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Settings while a stage is written: its table replaces the shuffle files, and Python gets long texts in small batches.
+WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 class Stages:
     """Results of stages, written as Parquet to the shared folder and read again.
 
@@ -61,13 +65,14 @@ class Stages:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(clean, "false")
-        self.spark.conf.set(clean, "true")  # the written table replaces the shuffle files
+        before = {k: self.spark.conf.get(k) for k in WHILE_KEPT}
         try:
+            for k, v in WHILE_KEPT.items():
+                self.spark.conf.set(k, v)
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            self.spark.conf.set(clean, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -8,10 +8,10 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: Words hashed at once.
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 18
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)

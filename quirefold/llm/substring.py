@@ -33,6 +33,12 @@ BATCH_BYTES = 4 << 20
 _SIGNED = np.int64
 
 
+def _salt(d: np.ndarray) -> np.ndarray:
+    """A value for each document of a batch that sets equal hashes of different documents apart."""
+    with np.errstate(over="ignore"):
+        return (d.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _runs(h: np.ndarray, ends: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, documents, anchors) of the runs of length words: where, in which document, the hash of the chosen anchor."""
     g = grams(h, seed)
@@ -50,9 +56,11 @@ def _anchors(length: int, seed: int):
             texts = enumerate(t.as_py() for t in batch.column("text"))
             for keys, h, ends in batched(texts, known):
                 _, d, a = _runs(h, ends, length, seed)
-                pairs = np.unique(np.rec.fromarrays([d, a], names="d,a")) if len(d) else np.rec.fromarrays([d, a], names="d,a")
-                own = np.array(keys)[pairs["d"]]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs["a"].astype(_SIGNED)), pa.array(doc[own]), pa.array(row[own])], names=["anchor", "_q_doc", "_q_row"])
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])) if len(a) else np.zeros(0, np.int64)
+                d, a = d[new], a[new]
+                _, first = np.unique(a ^ _salt(d), return_index=True)  # one row for each anchor of a document
+                own = np.array(keys, np.int64)[d[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(a[first].astype(_SIGNED)), pa.array(doc[own]), pa.array(row[own])], names=["anchor", "_q_doc", "_q_row"])
 
     return run
 
@@ -67,10 +75,8 @@ def _extended(length: int, seed: int):
             for keys, h, ends in batched(texts, known):
                 starts, d, a = _runs(h, ends, length, seed)
                 lists = [shared[k].values.to_numpy().astype(np.uint64) for k in keys]
-                salt = np.arange(len(keys), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                with np.errstate(over="ignore"):
-                    wanted = np.concatenate([x ^ s for x, s in zip(lists, salt)])
-                    hit = np.isin(a ^ salt[d], wanted)
+                wanted = np.concatenate(lists) ^ _salt(np.repeat(np.arange(len(keys)), [len(x) for x in lists]))
+                hit = np.isin(a ^ _salt(d), wanted)
                 starts, d = starts[hit], d[hit]
                 own, first = np.array(keys)[d], np.concatenate([[0], ends[:-1]])[d]
                 yield pa.RecordBatch.from_arrays(
