@@ -128,6 +128,14 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
     )
 
 
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The rows of docs (text and any others), unchanged, that neither the cascade nor the base rule on repeated words rejects."""
+    passed = quality_cascade(docs).where("failed_rule IS NULL")
+    counted = passed.withColumn("_w", words(F.col("text"))).withColumn("_h", repeat_words(F.col("_w")))
+    repeated = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0)).otherwise(_covered("_h"))
+    return counted.where(100 * repeated <= 50 * F.col("n_words")).select(*docs.columns)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_cascade(docs)

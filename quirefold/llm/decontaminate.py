@@ -98,6 +98,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     nothing. An item shorter than window is matched as a whole. Repeated rows give one row; rows that
     share a doc_id but not the text are judged apart and give one row each for an item.
     """
+    keyed, best = _leaks(docs, benchmark, window, min_tokens, min_literals)
+    ids = keyed.join(small(best.select("key").distinct(), 16), "key", "left_semi").select("key", "doc_id").distinct()
+    return ids.join(best, "key").select("doc_id", "item_id", "n_tokens", "n_covered").distinct()
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_tokens: int = MIN_TOKENS, min_literals: int = MIN_LITERALS) -> DataFrame:
+    """The rows of docs, unchanged, whose text holds no benchmark item; a column called key is reserved."""
+    _, best = _leaks(docs, benchmark, window, min_tokens, min_literals)
+    return docs.withColumn("key", F.xxhash64("doc_id", "text")).join(small(best.select("key").distinct(), 16), "key", "left_anti").drop("key")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, min_tokens: int, min_literals: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with their key, a row for each key and item it holds)."""
     stages = Stages(docs.sparkSession)
     items = benchmark.select("item_id", "text").distinct().withColumn("tokens", template(F.col("text"))).withColumn("slots", slots(F.col("text"), F.col("tokens")))
     items = stages.keep(items.withColumn("key", F.xxhash64("item_id", "text")).where("size(tokens) > 0"), "items")
@@ -120,9 +133,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     cover = cover.withColumn("n_covered", F.aggregate(steps, F.lit(0), lambda n, g: n + g))
     best = cover.groupBy("key", "item").agg(F.max("n_covered").alias("n_covered"))
     best = best.join(items.select(F.col("key").alias("item"), "item_id", F.size("tokens").alias("n_tokens")), "item").where(F.col("n_covered") >= F.least(F.lit(min_tokens), F.col("n_tokens")))
-    best = stages.keep(best, "best")
-    ids = keyed.join(small(best.select("key").distinct(), 16), "key", "left_semi").select("key", "doc_id").distinct()
-    return ids.join(best, "key").select("doc_id", "item_id", "n_tokens", "n_covered").distinct()
+    return keyed, stages.keep(best, "best")
 
 
 def _consistent(keyed: DataFrame, items: DataFrame, found: DataFrame, stages: Stages) -> DataFrame:

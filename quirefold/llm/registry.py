@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, cascade, decontaminate, lattice_lm, licences, linkgraph, sharding, substring, warc
+from . import bpe, cascade, decontaminate, lattice_lm, licences, linkgraph, order_minhash, sharding, substring, warc
 
 QUERIES = {
+    "op1_order_minhash": order_minhash.op1_order_minhash,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_licence_scan": licences.op3_licence_scan,
     "op4_decontaminate": decontaminate.op4_decontaminate,
