@@ -41,25 +41,27 @@ RULES = (
 )
 
 
-def repeat_words(w: Column) -> Column:
-    """How many words stand in a 3-word window that occurs twice or more in the array, the first included."""
-    windows = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(
-        F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-    )
-    return windows
-
-
-def _covered(h: Column) -> Column:
-    """Words covered by the windows whose hash occurs more than once; h: a hash for each window."""
-    return F.expr(
-        """
-        aggregate(
-          transform(array(sort_array(transform(h, (x, i) -> struct(x, i)))), s ->
-            transform(array(sort_array(transform(filter(s, (v, k) -> v.x = get(s, k - 1).x OR v.x = get(s, k + 1).x), v -> v.i))), p ->
-              aggregate(zip_with(p, slice(p, 2, greatest(size(p), 1)), (a, b) -> least(3, coalesce(b - a, 3))), 0, (n, g) -> n + g))[0]),
-          0, (n, g) -> n + g)
-        """.replace("(h,", f"({h},")
-    )
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once, however often body uses it and whatever the optimizer moves."""
+    return F.transform(F.array(value), body)[0]
+
+
+def repeat_words(text: Column) -> Column:
+    """How many words of the text stand in a 3-word window that occurs twice or more in it, the first included."""
+
+    def windows(w: Column) -> Column:
+        each = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+        return F.slice(each, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+
+    def covered(h: Column) -> Column:
+        ranked = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        same = lambda s: F.filter(s, lambda v, k: (v["x"] == F.get(s, k - 1)["x"]) | (v["x"] == F.get(s, k + 1)["x"]))
+        places = _let(ranked, lambda s: F.sort_array(F.transform(same(s), lambda v: v["i"])))
+        gaps = lambda p: F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p), F.lit(1))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
+        total = _let(places, lambda p: F.aggregate(gaps(p), F.lit(0), lambda n, g: n + g))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(total)
+
+    return _let(words(text), lambda w: _let(windows(w), covered)).cast("long")
 
 
 def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -68,17 +70,16 @@ def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     Null text counts as no words. n_dup_lines counts the lines with a word that equal an earlier line.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    staged = docs.withColumn("_w", words(F.col(text))).withColumn("_h", repeat_words(F.col("_w")))
-    staged = staged.withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACES, "") != ""))
-    return staged.withColumns(
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    return docs.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
+            "n_words": F.size(words(F.col(text))).cast("long"),
             "word_chars": F.length(bare(t)).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0)).otherwise(_covered("_h")).cast("long"),
+            "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "n_repeat_words": repeat_words(F.col(text)),
         }
-    ).drop("_w", "_h", "_lines")
+    )
 
 
 def with_word_count(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -131,9 +132,7 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_row
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs (text and any others), unchanged, that neither the cascade nor the base rule on repeated words rejects."""
     passed = quality_cascade(docs).where("failed_rule IS NULL")
-    counted = passed.withColumn("_w", words(F.col("text"))).withColumn("_h", repeat_words(F.col("_w")))
-    repeated = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0)).otherwise(_covered("_h"))
-    return counted.where(100 * repeated <= 50 * F.col("n_words")).select(*docs.columns)
+    return passed.where(100 * repeat_words(F.col("text")) <= 50 * F.col("n_words")).select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
