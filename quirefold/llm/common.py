@@ -47,7 +47,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: Settings while a stage is written: its table replaces the shuffle files, and Python gets long texts in small batches.
-WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 class Stages:

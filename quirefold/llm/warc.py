@@ -27,7 +27,7 @@ from .common import Stages, read, small
 LEAST_BYTES = 1000
 
 #: Records up to this far apart are read at once, up to so many bytes a read.
-GAP_BYTES, RANGE_BYTES = 64 << 10, 4 << 20
+GAP_BYTES, RANGE_BYTES = 64 << 10, 1 << 20
 
 #: Bytes of an archive that one reading task takes.
 SPAN_BYTES = 32 << 20
@@ -130,8 +130,11 @@ def _ranges(rows: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, i
         yield group
 
 
-def read_warc(index: DataFrame) -> DataFrame:
-    """The records that the rows of index (file, offset, length) name, in any order; each row once."""
+def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records that the rows of index (file, offset, length) name, in any order; each row once.
+
+    Without payloads the column payload is null; sizes and digests still come from the bytes read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, pa.NativeFile] = {}
@@ -146,6 +149,8 @@ def read_warc(index: DataFrame) -> DataFrame:
                     opened = {name: fs.open_input_file(path)}
                 data = opened[name].read_at(group[-1][1] + group[-1][2] - first, first)
                 found = [parse(zlib.decompress(data[o - first : o - first + n], 31)) for _, o, n in group]
+                if not payloads:
+                    found = [x | {"payload": None} for x in found]
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
         for f in opened.values():
             f.close()
@@ -165,7 +170,7 @@ def mark_revisits(pages: DataFrame, stages: Stages, least_bytes: int = LEAST_BYT
     return joined.withColumn("refers_to", F.when(F.col("_q_last") != F.coalesce(F.col("page_id"), F.col("_q_last") - 1), F.col("_q_last"))).drop("_q_key", "_q_last")
 
 
-def round_trip(pages: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
+def round_trip(pages: DataFrame, stages: Stages, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
     """(index, records) of pages (page_id, url, html), written to the shared folder and read back.
 
     Null html is an empty payload. Rows equal in page_id and payload are each a response if their page_id
@@ -173,11 +178,11 @@ def round_trip(pages: DataFrame, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     index = stages.keep(write_warc(mark_revisits(rows, stages), stages.path("warc")), "index")
-    return index, read_warc(index)
+    return index, read_warc(index, payloads)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, records = round_trip(read(spark, sf_dir, "pages"), Stages(spark))
+    _, records = round_trip(read(spark, sf_dir, "pages"), Stages(spark), payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
