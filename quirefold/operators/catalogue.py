@@ -186,4 +186,4 @@ def build_index(catalogue: DataFrame, rankings: DataFrame) -> Index:
     core = rankings.select("ord", "canonical", F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("conference")).alias("kind"), F.trim(blank(F.col("core_tier"))).alias("core_tier"),
                            F.trim(blank(F.col("write_as"))).alias("write_as"), aliases.alias("aliases"))
     core = core.select("*", F.posexplode("aliases").alias("alias_ord", "alias")).withColumn("tokens", F.array_join(ascii_tokens(F.col("alias")), " "))
-    return Index(catalogue, exact, acronym, short, derived, long, slug, core)
+    return Index(*(t.cache() for t in (catalogue, exact, acronym, short, derived, long, slug, core)))  # read many times, small
