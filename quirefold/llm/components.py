@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages
+from .common import Stages, small
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """The neighbour tables are stages of their own: a vertex with very many neighbours then meets a plain join, which can be split."""
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select("v", "m").distinct().toDF("u", "v")
+    least = stages.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+    return both.join(small(least, 16), "u").where("v > u").select("v", "m").distinct().toDF("u", "v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -32,6 +33,6 @@ def components(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
     seen, step = None, 0
     while (found := mark(now)) != seen:
         seen, step = found, step + 1
-        now = stages.keep(_small_star(_large_star(now)), f"{name}{step}")
-        stages.drop(f"{name}{step - 1}")
+        now = stages.keep(_small_star(_large_star(now, stages, f"{name}{step}-least")), f"{name}{step}")
+        stages.drop(f"{name}{step - 1}", f"{name}{step}-least")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))

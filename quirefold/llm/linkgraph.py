@@ -1,9 +1,9 @@
 """URL filtering by rules and, where no rule fits, by propagation over the host graph.
 
-Each host starts with the share of its pages that the rules allow (trust) and block (distrust). Trust
-flows along links by personalised PageRank, distrust flows against them, from the linked host back to
-the linking one; a host without such a link keeps its mass. A host whose distrust exceeds its trust by
-THRESHOLD is blocked. The iterations run over a table with one row for each pair of linked hosts.
+Hosts most of whose pages the rules allow are trusted seeds, hosts most of whose pages they block are
+blocked seeds. Trust flows along links by personalised PageRank, distrust flows against them, from the
+linked host back to the linking one; a host without such a link keeps its mass. A host whose distrust
+exceeds its trust by THRESHOLD is blocked. The iterations run over a table with one row for each pair of linked hosts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DAMPING = 0.85
 ITERATIONS = 10
 STEPS_A_STAGE = 5
-THRESHOLD = 0.5
+THRESHOLD = 0.1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
@@ -92,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thre
     html = F.col("html") if "html" in pages.columns else F.lit(None).cast("string")
     judged = pages.withColumn("_q_html", html).withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url"))).withColumn("_q_fit", fitting_rule(F.col("host"), F.col("path"), rules))
     seeds = judged.where("host <> ''").groupBy("host").agg(
-        *[(F.count_if(F.col("_q_fit.verdict") == v) / F.count(F.lit(1))).alias(c) for c, v in (("trust", "allow"), ("distrust", "block"))])
+        *[F.when(2 * F.count_if(F.col("_q_fit.verdict") == v) > F.count(F.lit(1)), 1.0).otherwise(0.0).alias(c) for c, v in (("trust", "allow"), ("distrust", "block"))])
     seeds = stages.keep(seeds, "seeds")
     edges = stages.keep(host_edges(judged.select("host", F.col("_q_html").alias("html"))), "edges")
     scores = seeds if edges.isEmpty() else propagate(seeds, edges, stages)  # without links every host keeps its seed
@@ -123,7 +123,7 @@ def _sql() -> str:
     return f"""
 WITH u AS (SELECT page_id, html, {host.format("url")} AS host, coalesce(regexp_extract({rest.format("url")}, '^[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 j AS (SELECT *, {pick(1)} AS rule, {pick(2)} AS rv FROM u),
-seeds AS (SELECT host, count(*) FILTER (rv = 'allow') / count(*) AS trust, count(*) FILTER (rv = 'block') / count(*) AS distrust FROM j WHERE host <> '' GROUP BY host),
+seeds AS (SELECT host, CASE WHEN 2 * count(*) FILTER (rv = 'allow') > count(*) THEN 1.0 ELSE 0.0 END::DOUBLE AS trust, CASE WHEN 2 * count(*) FILTER (rv = 'block') > count(*) THEN 1.0 ELSE 0.0 END::DOUBLE AS distrust FROM j WHERE host <> '' GROUP BY host),
 l AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS url FROM j WHERE host <> ''),
 e AS MATERIALIZED (SELECT src, dst, count(*) AS links FROM (SELECT src, {host.format("url")} AS dst FROM l) WHERE dst <> '' AND dst <> src GROUP BY ALL),
 v0 AS MATERIALIZED (SELECT host, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM (SELECT src AS host FROM e UNION SELECT dst FROM e UNION SELECT host FROM seeds) LEFT JOIN seeds USING (host)),
