@@ -6,6 +6,7 @@ holds a character beyond ASCII. All else is built from JVM functions. Null count
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -61,6 +62,17 @@ def norm_person(text: Column) -> Column:
     return _letters(F.regexp_replace(F.lower(nfkd(text)), r"\p{M}", ""))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def norm_people(names: pd.Series) -> pd.Series:
+    """norm_person of each name of an array, in place; null names are empty, a null array has none."""
+
+    def one(name: str | None) -> str:
+        plain = unicodedata.normalize("NFKD", name or "").lower()
+        return re.sub(r"[\W_]+", " ", "".join(c for c in plain if unicodedata.category(c)[0] != "M")).strip()
+
+    return names.map(lambda v: [one(n) for n in v] if v is not None else [])
+
+
 def norm_venue(text: Column) -> Column:
     """Composed, lower-cased; accents stay, apostrophes vanish and & reads and."""
     return _letters(F.replace(F.regexp_replace(F.lower(nfkc(text)), "[’']", ""), F.lit("&"), F.lit(" and ")))

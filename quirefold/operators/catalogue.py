@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import blank
 from ..functions.labels import looks_like_acronym
 from ..functions.text import ascii_tokens, norm_listing, norm_venue, smart_title
+from ..plans.tools import BROADCAST_ROWS
 
 CATALOGUE = "row_ord int, canonical string, kind string, tier string, domain string, aliases array<string>, full_name string, publisher string, url string, dblp_slug string"
 
@@ -161,6 +162,7 @@ class Index:
     """Lookup tables of a catalogue and of a core ranking; all are as small as these."""
 
     rows: DataFrame  # the catalogue
+    entries: DataFrame  # what a match reports of each row, with its identity
     exact: DataFrame  # kind, norm, row_ord
     acronym: DataFrame  # norm, row_ord
     short: DataFrame  # compact, row_ord
@@ -168,6 +170,13 @@ class Index:
     long: DataFrame  # norm, n_tokens, row_ord
     slug: DataFrame  # slug, row_ord
     core: DataFrame  # ord, alias_ord, alias, tokens, canonical, kind, core_tier, write_as, aliases
+    long_sizes: tuple[int, ...]  # token counts of long names
+    core_sizes: tuple[int, ...]  # token counts of core aliases
+    bounded: bool  # whether every table was counted to be small enough to broadcast
+
+    def hint(self, table: DataFrame) -> DataFrame:
+        """A table of this index, or rows of one, with a broadcast hint if it is bounded."""
+        return F.broadcast(table) if self.bounded else table
 
 
 def build_index(catalogue: DataFrame, rankings: DataFrame) -> Index:
@@ -186,4 +195,9 @@ def build_index(catalogue: DataFrame, rankings: DataFrame) -> Index:
     core = rankings.select("ord", "canonical", F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("conference")).alias("kind"), F.trim(blank(F.col("core_tier"))).alias("core_tier"),
                            F.trim(blank(F.col("write_as"))).alias("write_as"), aliases.alias("aliases"))
     core = core.select("*", F.posexplode("aliases").alias("alias_ord", "alias")).withColumn("tokens", F.array_join(ascii_tokens(F.col("alias")), " "))
-    return Index(*(t.cache() for t in (catalogue, exact, acronym, short, derived, long, slug, core)))  # read many times, small
+    identity = F.concat_ws("|", "kind", norm_venue(F.coalesce(F.nullif(F.col("full_name"), F.lit("")), F.col("canonical"))))
+    entries = catalogue.select("row_ord", "canonical", "kind", "tier", "domain", "full_name", "publisher", "url", "dblp_slug", identity.alias("_identity"))
+    tables = [t.cache() for t in (catalogue, entries, exact, acronym, short, derived, long, slug, core)]  # read many times, small
+    sizes = lambda t, c: tuple(sorted(r[0] for r in t.select(c).distinct().collect()))
+    bounded = all(t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS for t in tables)
+    return Index(*tables, sizes(tables[6], "n_tokens"), sizes(tables[8].where("tokens <> ''"), F.size(F.split("tokens", " "))), bounded)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import blank
 from ..functions.labels import has_track_phrase, initialism_variants, venue_variants
 from ..functions.text import ascii_tokens, norm_venue
-from ..plans.tools import small
+from ..plans.tools import settled
 from .catalogue import Index
 
 #: Words that may stand around a long name without making it another venue.
@@ -35,16 +35,14 @@ def _lits(words: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def aggregate(candidates: DataFrame, rows: DataFrame, matched_by: str, keys: list[str]) -> DataFrame:
+def aggregate(candidates: DataFrame, index: Index, matched_by: str, keys: list[str]) -> DataFrame:
     """One match for each key of candidates (keys, row_ord, ord): the merged entries, or ambiguous if they differ.
 
     Entries count once for each domain, kind, name and tier, in order of encounter. They are ambiguous if
     they have more than one tier or more than one identity (kind and normalised full name).
     """
-    identity = F.concat_ws("|", "kind", norm_venue(F.coalesce(F.nullif(F.col("full_name"), F.lit("")), F.col("canonical"))))
-    dim = rows.withColumn("_identity", identity)
     fields = ["canonical", "kind", "tier", "domain", "full_name", "publisher", "url", "dblp_slug", "_identity"]
-    joined = candidates.join(small(dim.select("row_ord", *fields)), "row_ord")
+    joined = candidates.join(index.hint(index.entries), "row_ord")
     first = joined.groupBy(*keys, "domain", "kind", "canonical", "tier").agg(F.min(F.struct("ord", "row_ord", *fields)).alias("e")).select(*keys, "e")
     grouped = first.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
     listed = lambda c: F.array_distinct(F.transform("es", lambda e: e[c]))
@@ -60,48 +58,45 @@ def aggregate(candidates: DataFrame, rows: DataFrame, matched_by: str, keys: lis
     return grouped.select(*keys, match.alias("match"))
 
 
-def _ngrams(tokens: str, sizes: list[int]) -> Column:
+def _ngrams(tokens: str, sizes: tuple[int, ...] | list[int]) -> Column:
     """array<struct<n, at, gram>>: the runs of an array column of tokens whose length is one of sizes."""
     parts = [F.expr(f"IF(size({tokens}) >= {n}, transform(sequence(1, greatest(size({tokens}) - {n - 1}, 1)), i -> struct({n} AS n, i AS at, array_join(slice({tokens}, i, {n}), ' ') AS gram)), array())") for n in sizes]
     return F.flatten(F.array(*parts)) if parts else F.expr("cast(array() as array<struct<n:int,at:int,gram:string>>)")
 
 
-def _sizes(table: DataFrame, column: str) -> list[int]:
-    return sorted(r[0] for r in table.select(column).distinct().collect())  # lengths of catalogue names, a few
-
-
 def lookup(values: DataFrame, index: Index) -> DataFrame:
     """(value, kind, match) for the distinct pairs of values (value, kind or null); match is null where nothing fits."""
     asked = values.select(*KEY).distinct().withColumn("_kind", F.coalesce("kind", F.lit("")))
     kinds = F.when(F.col("_kind").isin("journal", "conference"), F.array("_kind")).otherwise(_lits(("conference", "journal")))
     base = asked.select("value", "_kind", kinds.alias("kinds"), venue_variants(F.col("value")).alias("variants"), norm_venue(F.col("value")).alias("norm"))
     base = base.withColumn("tokens", F.filter(F.split(F.coalesce(F.get("variants", F.lit(0)), F.lit("")), " "), lambda t: t != ""))
+    base = settled(base.withColumn("_i", initialism_variants(F.col("value"))))
     key = ["value", "_kind"]
     allowed = index.rows.select("row_ord", F.col("kind").alias("row_kind"))
 
     def staged(hits: DataFrame, name: str) -> DataFrame:
-        fit = hits.join(small(allowed), "row_ord").where(F.array_contains("kinds", F.col("row_kind"))).select(*key, "row_ord", "ord")
-        return aggregate(fit, index.rows, name, key).withColumnRenamed("match", name.replace("-", "_"))
+        fit = hits.join(index.hint(allowed), "row_ord").where(F.array_contains("kinds", F.col("row_kind"))).select(*key, "row_ord", "ord")
+        return aggregate(fit, index, name, key).withColumnRenamed("match", name.replace("-", "_"))
 
     tries = base.select(*key, F.posexplode("variants").alias("v", "norm"), "kinds").select(*key, "v", "norm", F.posexplode("kinds").alias("k", "kind"))
-    hits = tries.join(small(index.exact), ["kind", "norm"])
+    hits = tries.join(index.hint(index.exact), ["kind", "norm"])
     least = F.min(F.struct("v", "k")).over(Window.partitionBy(*key))
     hits = hits.withColumn("_best", least).where((F.col("v") == F.col("_best.v")) & (F.col("k") == F.col("_best.k")))
-    exact = aggregate(hits.select(*key, "row_ord", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), "row_ord").alias("ord")), index.rows, "exact", key).withColumnRenamed("match", "exact")
+    exact = aggregate(hits.select(*key, "row_ord", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), "row_ord").alias("ord")), index, "exact", key).withColumnRenamed("match", "exact")
 
     raw = F.regexp_extract_all(blank(F.col("value")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    shorts = base.select(*key, "kinds", F.posexplode(raw).alias("b", "compact")).where(F.col("compact") == F.upper("compact")).join(small(index.short), "compact")
-    named = base.select(*key, "kinds", F.posexplode("tokens").alias("b", "norm")).join(small(index.acronym), "norm")
+    shorts = base.select(*key, "kinds", F.posexplode(raw).alias("b", "compact")).where(F.col("compact") == F.upper("compact")).join(index.hint(index.short), "compact")
+    named = base.select(*key, "kinds", F.posexplode("tokens").alias("b", "norm")).join(index.hint(index.acronym), "norm")
     order = lambda a: F.struct(F.lit(a).alias("a"), "b", "row_ord").alias("ord")
     both = shorts.select(*key, "kinds", "row_ord", order(0)).union(named.select(*key, "kinds", "row_ord", order(1)))
     acronym = staged(both, "acronym-token")
 
-    made = base.withColumn("_i", initialism_variants(F.col("value"))).select(*key, "kinds", F.posexplode("_i").alias("b", "compact"))
-    derived = staged(made.join(small(index.derived), "compact").select(*key, "kinds", "row_ord", order(0)), "derived-initialism")
+    made = base.select(*key, "kinds", F.posexplode("_i").alias("b", "compact"))
+    derived = staged(made.join(index.hint(index.derived), "compact").select(*key, "kinds", "row_ord", order(0)), "derived-initialism")
 
-    grams = base.select(*key, "kinds", "tokens", F.explode(_ngrams("tokens", _sizes(index.long, "n_tokens"))).alias("g"))
+    grams = base.select(*key, "kinds", "tokens", F.explode(_ngrams("tokens", index.long_sizes)).alias("g"))
     grams = grams.select(*key, "kinds", "tokens", "g.n", "g.at", F.col("g.gram").alias("norm"))
-    runs = grams.join(small(index.long.drop("kind", "n_tokens")), "norm").groupBy(*key, "kinds", "tokens", "norm", "n", "row_ord").agg(F.min("at").alias("at"))
+    runs = grams.join(index.hint(index.long.drop("kind", "n_tokens")), "norm").groupBy(*key, "kinds", "tokens", "norm", "n", "row_ord").agg(F.min("at").alias("at"))
     around = F.concat(F.slice("tokens", F.lit(1), F.col("at") - 1), F.slice("tokens", F.col("at") + F.col("n"), F.greatest(F.size("tokens"), F.lit(1))))
     safe = F.forall(around, lambda t: t.rlike("^[0-9]+$") | F.array_contains(_lits(WRAPPER_WORDS), t))
     contained = runs.where(safe).select(*key, "kinds", "row_ord", F.struct((-F.col("n")).alias("a"), (-F.length("norm")).alias("b"), "row_ord").alias("ord"))
@@ -119,8 +114,8 @@ def lookup(values: DataFrame, index: Index) -> DataFrame:
 def lookup_slug(urls: DataFrame, index: Index) -> DataFrame:
     """(url, match) for bibliography keys and urls of conferences; absent where the slug is unknown."""
     slug = F.lower(F.regexp_extract(blank(F.col("url")), r"(?i)(?:^|/)conf/([^/?#]+)", 1))
-    hits = urls.select("url").distinct().withColumn("slug", slug).where("slug <> ''").join(small(index.slug), "slug")
-    found = aggregate(hits.select(F.col("url").alias("_url"), "row_ord", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), "row_ord").alias("ord")), index.rows, "dblp-slug", ["_url"])
+    hits = urls.select("url").distinct().withColumn("slug", slug).where("slug <> ''").join(index.hint(index.slug), "slug")
+    found = aggregate(hits.select(F.col("url").alias("_url"), "row_ord", F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), "row_ord").alias("ord")), index, "dblp-slug", ["_url"])
     return found.withColumnRenamed("_url", "url")
 
 
@@ -130,10 +125,10 @@ def lookup_core(values: DataFrame, index: Index) -> DataFrame:
     fields = F.struct("canonical", F.col("kind").alias("kind"), "core_tier", "write_as", "aliases").alias("core")
     dim = index.core.select("ord", "alias_ord", "alias", "tokens", fields)
     base = values.select("value").distinct().withColumn("v", F.lower(F.trim(blank(F.col("value"))))).withColumn("t", ascii_tokens(F.col("v"))).where("size(t) > 0")
-    exact = base.join(small(dim), F.col("v") == F.col("alias")).groupBy("value").agg(F.min_by("core", "ord").alias("core"))
+    exact = base.join(index.hint(dim), F.col("v") == F.col("alias")).groupBy("value").agg(F.min_by("core", "ord").alias("core"))
     sized = dim.where("tokens <> ''").withColumn("n", F.size(F.split("tokens", " ")))
-    grams = base.where(~F.arrays_overlap("t", _lits(CORE_BARRED))).select("value", "t", F.explode(_ngrams("t", _sizes(sized, "n"))).alias("g")).select("value", "t", "g.*")
-    runs = grams.join(small(sized.drop("n")), F.col("gram") == F.col("tokens")).groupBy("value", "t", "n", "ord", "alias_ord").agg(F.min("at").alias("at"), F.first("core").alias("core"))
+    grams = base.where(~F.arrays_overlap("t", _lits(CORE_BARRED))).select("value", "t", F.explode(_ngrams("t", index.core_sizes)).alias("g")).select("value", "t", "g.*")
+    runs = grams.join(index.hint(sized.drop("n")), F.col("gram") == F.col("tokens")).groupBy("value", "t", "n", "ord", "alias_ord").agg(F.min("at").alias("at"), F.first("core").alias("core"))
     after = F.slice("t", F.col("at") + F.col("n"), F.greatest(F.size("t"), F.lit(1)))
     fits = runs.where(F.forall(after, lambda x: x.rlike("^[0-9]+$") | F.array_contains(_lits(CORE_SUFFIXES), x)))
     inside = fits.groupBy("value").agg(F.min_by("core", F.struct("ord", "alias_ord")).alias("core"))
@@ -149,10 +144,14 @@ def rank(values: DataFrame, index: Index) -> DataFrame:
     """
     asked = values.select(*KEY).distinct()
     cored = asked.join(lookup_core(asked, index), "value", "left").withColumn("_hint", F.coalesce("kind", "core.kind"))
-    own = lookup(cored.select("value", F.col("_hint").alias("kind")), index).select(F.col("value").alias("_v"), F.col("kind").alias("_k"), F.col("match").alias("own"))
+    cored = settled(cored)
+    own = settled(lookup(cored.select("value", F.col("_hint").alias("kind")), index)).select(F.col("value").alias("_v"), F.col("kind").alias("_k"), F.col("match").alias("own"))
     joined = cored.join(own, (F.col("value") == F.col("_v")) & F.col("_hint").eqNullSafe(F.col("_k")), "left").drop("_v", "_k")
     again = joined.where("core IS NOT NULL AND (own IS NULL OR own.ambiguous)").select(F.col("core.canonical").alias("value"), F.col("core.kind").alias("kind"))
-    other = lookup(again, index).select(F.col("value").alias("_v"), F.col("kind").alias("_k"), F.col("match").alias("other"))
+    again = settled(again.distinct())
+    if again.isEmpty():
+        again = None
+    other = (lookup(again, index) if again is not None else own.limit(0).select(F.col("_v").alias("value"), F.col("_k").alias("kind"), F.col("own").alias("match"))).select(F.col("value").alias("_v"), F.col("kind").alias("_k"), F.col("match").alias("other"))
     joined = joined.join(other, (F.col("core.canonical") == F.col("_v")) & (F.col("core.kind") == F.col("_k")), "left")
     unclear = F.col("own").isNull() | F.col("own.ambiguous")
     match = F.when(unclear & F.col("core").isNotNull(), F.col("other")).otherwise(F.col("own"))
@@ -166,7 +165,7 @@ def rank(values: DataFrame, index: Index) -> DataFrame:
         pick("url").alias("url"), pick("dblp_slug").alias("dblp_slug"), F.when(has, F.col("core.write_as")).otherwise(pick("full_name")).alias("write_as"),
         F.when(has, F.col("core.aliases")).otherwise(none).alias("aliases"),
     )
-    return joined.select("value", "kind", F.when(has | F.col("m").isNotNull(), venue).alias("venue"))
+    return settled(joined.select("value", "kind", F.when(has | F.col("m").isNotNull(), venue).alias("venue")))
 
 
 def find_in_text(texts: DataFrame, index: Index, kind: str | None = "conference") -> DataFrame:
@@ -183,17 +182,19 @@ def find_in_text(texts: DataFrame, index: Index, kind: str | None = "conference"
     base = texts.select("text").distinct().withColumn("norm_text", norm_venue(F.col("text"))).withColumn("t", F.split("norm_text", " "))
     raw = F.regexp_extract_all(blank(F.col("text")), F.lit("[A-Za-z0-9&+.-]+"), F.lit(0))
     plain = lambda v: F.regexp_replace(v, "[^A-Za-z0-9]", "")
-    grams = base.select("text", F.explode(_ngrams("t", _sizes(named.where("phrase"), "n"))).alias("g")).select("text", F.col("g.gram").alias("norm")).distinct()
-    by_phrase = grams.join(small(named.where("phrase")), "norm").select("text", "row_ord", "alias", F.when(F.col("whole"), 12).when(F.col("own"), 11).otherwise(9).alias("score"), F.lit("phrase").alias("quality"))
+    named = settled(named)
+    sizes = sorted(r[0] for r in named.where("phrase").select("n").distinct().collect())  # lengths of names, a few
+    grams = base.select("text", F.explode(_ngrams("t", sizes)).alias("g")).select("text", F.col("g.gram").alias("norm")).distinct()
+    by_phrase = grams.join(index.hint(named.where("phrase")), "norm").select("text", "row_ord", "alias", F.when(F.col("whole"), 12).when(F.col("own"), 11).otherwise(9).alias("score"), F.lit("phrase").alias("quality"))
     tokens = base.select("text", F.explode(raw).alias("r")).select("text", plain(F.col("r")).alias("token"), (F.col("r") == F.upper("r")).alias("caps")).where("token <> ''").distinct()
     whole = named.where("NOT mixed AND length(compact) BETWEEN 4 AND 24").withColumn("token", F.upper("compact"))
-    by_caps = tokens.where("caps").select("text", "token").distinct().join(small(whole), "token").select("text", "row_ord", "alias", F.when(F.col("own"), 8).otherwise(6).alias("score"), F.lit("exact_case").alias("quality"))
+    by_caps = tokens.where("caps").select("text", "token").distinct().join(index.hint(whole), "token").select("text", "row_ord", "alias", F.when(F.col("own"), 8).otherwise(6).alias("score"), F.lit("exact_case").alias("quality"))
     brand = named.where("mixed AND length(compact) >= 5").withColumn("folded", F.lower("compact"))
-    met = tokens.select("text", "token", F.lower("token").alias("folded")).distinct().join(small(brand), "folded")
+    met = tokens.select("text", "token", F.lower("token").alias("folded")).distinct().join(index.hint(brand), "folded")
     met = met.groupBy("text", "row_ord", "alias", "own").agg(F.bool_or(F.col("token") == F.col("compact")).alias("same"))
     by_brand = met.select("text", "row_ord", "alias", F.when(F.col("same"), F.when(F.col("own"), 8).otherwise(6)).otherwise(F.when(F.col("own"), 3).otherwise(2)).alias("score"), F.when(F.col("same"), "exact_case").otherwise("case_insensitive").alias("quality"))
     others = by_caps.union(by_brand).join(by_phrase.select("text", "row_ord", "alias"), ["text", "row_ord", "alias"], "left_anti")  # a phrase settles its alias
     best = by_phrase.union(others).groupBy("text", "row_ord").agg(F.max(F.struct("score", "quality")).alias("b")).select("text", "row_ord", "b.*")
     top = best.withColumn("_top", F.max("score").over(Window.partitionBy("text"))).where("score = _top").drop("_top")
-    ids = top.join(small(index.rows.select("row_ord", F.concat_ws("|", "kind", "canonical", "tier").alias("_id"))), "row_ord")
+    ids = top.join(index.hint(index.rows.select("row_ord", F.concat_ws("|", "kind", "canonical", "tier").alias("_id"))), "row_ord")
     return ids.groupBy("text").agg(F.min("row_ord").alias("row_ord"), F.max("score").alias("score"), F.min_by("quality", "row_ord").alias("quality"), F.count_distinct("_id").alias("_n")).where("_n = 1").drop("_n")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import blank, is_arxiv_doi, is_nonvenue, item_year
 from ..functions.labels import build_tags, source_family, source_weight
-from ..functions.text import norm_person, norm_title
+from ..functions.text import norm_people, norm_title
 from ..plans.tools import first_rows, small
 from .catalogue import Index
 from .identity import verify_identity
@@ -58,12 +58,12 @@ def admit(items: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     items: item_key, title, creators. Hits without a title and the item's own metadata are not compared.
     """
-    people = F.filter(F.coalesce("creators", F.expr("cast(array() as array<struct<creatorType:string,firstName:string,lastName:string,name:string>>)")), lambda c: (blank(c["creatorType"]) == "") | (c["creatorType"] == "author"))
-    named = F.transform(people, lambda c: F.concat_ws("\u001f", F.coalesce(F.nullif(c["lastName"], F.lit("")), c["name"], F.lit("")), blank(c["firstName"])))
-    query = _normal_array(items.select("item_key", norm_title(F.col("title")).alias("_title"), named.alias("_names")), "_names", ["item_key", "_title"])
-    query = query.withColumn("_creators", F.transform("_names", lambda n: F.struct(F.split(n, "\u001f")[0].alias("family"), F.split(n, "\u001f")[1].alias("given")))).drop("_names")
-    found = hits.select("item_key", "hit_ord", norm_title(F.col("title")).alias("_found"), F.coalesce("authors", F.array().cast("array<string>")).alias("_authors"))
-    found = _normal_array(found, "_authors", ["item_key", "hit_ord", "_found"])
+    people = F.filter("creators", lambda c: (blank(c["creatorType"]) == "") | (c["creatorType"] == "author"))
+    family = norm_people(F.transform(people, lambda c: F.coalesce(F.nullif(c["lastName"], F.lit("")), c["name"], F.lit(""))))
+    given = norm_people(F.transform(people, lambda c: blank(c["firstName"])))
+    query = items.select("item_key", norm_title(F.col("title")).alias("_title"), family.alias("_f"), given.alias("_g"))
+    query = query.select("item_key", "_title", F.zip_with("_f", "_g", lambda f, g: F.struct(f.alias("family"), g.alias("given"))).alias("_creators"))
+    found = hits.select("item_key", "hit_ord", norm_title(F.col("title")).alias("_found"), norm_people(F.col("authors")).alias("_authors"))
     joined = hits.join(found, ["item_key", "hit_ord"]).join(query, "item_key", "left")
     exempt = (blank(F.col("title")) == "") | blank(F.col("source")).rlike("^arxiv_|zotero_metadata|user_override")
     verdict = verify_identity(blank(F.col("_title")), F.col("_found"), F.col("_creators"), F.col("_authors"))
@@ -74,16 +74,6 @@ def admit(items: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, rejected
 
 
-def _normal_array(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """df with norm_person applied to each part (by unit separators) of each string of an array column, once for each distinct string."""
-    sep = "\u001f"
-    parts = df.select(F.explode(column).alias("_s")).select(F.explode(F.split("_s", sep)).alias("_p")).distinct()
-    normal = parts.withColumn("_n", norm_person(F.col("_p")))
-    each = df.select(*keys, F.posexplode_outer(column).alias("_i", "_s")).select(*keys, "_i", F.posexplode_outer(F.split("_s", sep)).alias("_j", "_p")).join(normal, "_p", "left")
-    back = each.groupBy(*keys, "_i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_n"))), lambda x: x["_n"]), sep, "").alias("_t"))
-    return back.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_t")))), lambda x: x["_t"]).alias(column))
-
-
 def hit_score(hit_venue: str = "venue") -> Column:
     """A hit's own score: its source, what is known of its venue, its title, DOI and kind of evidence."""
     v = lambda c: F.col(f"{hit_venue}.{c}")

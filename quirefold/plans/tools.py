@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed and written to the checkpoint folder that the session names (an own one where it names none).
+
+    Plans that use a result several times then start from it, and a lost executor costs no more than one stage.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quirefold-"))
+    return df.checkpoint(eager=True)
+
+
 def first_rows(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
     """The first n rows of each key by an explicit order; dropDuplicates would not say which row stays."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
