@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import blank, is_arxiv_doi, is_nonvenue, item_year
 from ..functions.labels import build_tags, source_family, source_weight
 from ..functions.text import norm_people, norm_title
-from ..plans.tools import first_rows, small
+from ..plans.tools import first_rows, settled, small
 from .catalogue import Index
 from .identity import verify_identity
 from .lookup import lookup_slug, rank
@@ -196,7 +196,7 @@ def compose(items: DataFrame, hits: DataFrame, index: Index, overrides: DataFram
     items: item_key, version, title, arxiv_id, date, extra, tags, collections, itemType; overrides: arxiv_id, canonical, year;
     metadata: arxiv_id, published_year. Precedence: hits, then curated overrides, then the user's.
     """
-    chosen = fill_down(hits, choose_venue(hits))
+    chosen = settled(fill_down(hits, choose_venue(hits)))
     conf = confidence(chosen, hits)
     strong = strong_items(hits).withColumn("_strong", F.lit(True))
     known = hits.where("source = 'zotero_metadata'").select("item_key").distinct().withColumn("_known", F.lit(True))

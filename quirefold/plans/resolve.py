@@ -12,6 +12,7 @@ from ..operators.catalogue import Index
 from ..operators.proposal import propose
 from ..operators.resolve import admit, compose, strong_items, user_overrides, with_venue
 from ..sources import providers as P
+from .tools import settled
 
 #: Columns of items, all strings but version, creators, tags and collections.
 ITEM = (
@@ -66,14 +67,14 @@ def resolve(items: DataFrame, sources: Mapping[str, DataFrame | None], index: In
     known venue of their own stay local. Whole stages count: no timing decides.
     """
     chosen = {**P.PROVIDERS, **(providers or {})}
-    items = with_ids(items)
-    own = ordered(P.existing(items, index), 0, 0)
+    items = settled(with_ids(items))
+    own = settled(ordered(P.existing(items, index), 0, 0))
     fixed = overrides.select("arxiv_id").distinct().withColumn("_listed", F.lit(True))
     local = items.join(fixed, "arxiv_id", "left").join(user_overrides(items).select("item_key", F.lit(True).alias("_user")), "item_key", "left")
     local = local.join(own.select("item_key").distinct().withColumn("_own", F.lit(True)), "item_key", "left")
     asked = (F.coalesce(F.trim("title"), F.lit("")) != "") | (F.coalesce("DOI", F.lit("")) != "")
     known = F.lit(False) if deep else F.col("_own").isNotNull()
-    todo = items.join(local.where(F.col("_listed").isNull() & F.col("_user").isNull() & ~known & asked).select("item_key"), "item_key", "left_semi")
+    todo = settled(items.join(local.where(F.col("_listed").isNull() & F.col("_user").isNull() & ~known & asked).select("item_key"), "item_key", "left_semi"))
 
     hits, meta = own, None
     ids = todo.where("arxiv_id IS NOT NULL").select("item_key", "arxiv_id")
@@ -83,25 +84,26 @@ def resolve(items: DataFrame, sources: Mapping[str, DataFrame | None], index: In
         pages = P.arxiv_pages(sources["arxiv_html"])
         meta = pages if meta is None else meta.unionByName(pages.join(meta.select("arxiv_id"), "arxiv_id", "left_anti"))
     if meta is not None:
+        meta = settled(meta)
         hits = hits.unionByName(ordered(P.preprint_hits(ids, meta, index), 1, 1))
     if sources.get("s2_batch") is not None:
         from .tools import chunks
 
         numbered = chunks(ids, "arxiv_id", F.col("arxiv_id"), 100).join(ids, "arxiv_id")
         hits = hits.unionByName(ordered(P.s2_batch(numbered, sources["s2_batch"], index), 1, 2))
-    admitted = with_venue(admit(items, hits)[0], index)
+    admitted = settled(with_venue(settled(admit(items, hits)[0]), index))
     for stage, names in enumerate(P.STAGES, 1):
-        open_items = todo if deep or stage == 1 else todo.join(strong_items(admitted), "item_key", "left_anti")
+        open_items = todo if deep or stage == 1 else settled(todo.join(strong_items(admitted), "item_key", "left_anti"))
         found = None
         for number, name in enumerate(names, 3):
             if chosen.get(name) is None or sources.get(name) is None:
                 continue
             bronze = sources[name].join(open_items.select("item_key"), "item_key", "left_semi")
-            more = ordered(chosen[name](open_items, bronze, index), stage, number)
+            more = settled(ordered(chosen[name](open_items, bronze, index), stage, number))
             found = more if found is None else found.unionByName(more)
         if found is not None:
-            admitted = admitted.unionByName(with_venue(admit(items, found)[0], index))
+            admitted = settled(admitted.unionByName(with_venue(settled(admit(items, found)[0]), index)))
     latest = Window.partitionBy("item_key", "source", "venue_raw", "year", "external_doi", "evidence_url").orderBy("hit_ord")
-    admitted = admitted.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    admitted = settled(admitted.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n"))
     resolutions = compose(items, admitted, index, overrides, meta)
-    return propose(resolutions, items, index, today)
+    return propose(settled(resolutions), items, index, today)

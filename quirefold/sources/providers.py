@@ -19,7 +19,7 @@ from ..functions.text import author_matches, first_author_lastname, norm_people,
 from ..operators.catalogue import Index
 from ..operators.lookup import find_in_text, lookup_slug, rank
 from ..operators.resolve import HIT
-from ..plans.tools import first_rows, small
+from ..plans.tools import first_rows, settled, small
 
 Provider = Callable[[DataFrame, DataFrame, Index], DataFrame]
 
@@ -82,6 +82,7 @@ def best(scored: DataFrame) -> DataFrame:
 
 def choose(records: DataFrame, candidates: Column, hint: Column, index: Index, keys: tuple[str, ...] = ("item_key", "route_ord", "pos")) -> DataFrame:
     """records with selected and venue: the first candidate with a tier, else the last that is known, else the first."""
+    records = settled(records)
     tries = records.select(*keys, F.posexplode(candidates).alias("_at", "value"), hint.alias("kind"))
     known = rank(tries, index).where("venue IS NOT NULL").select(F.col("value").alias("_v"), F.col("kind").alias("_k"), "venue")
     found = tries.join(known, (F.col("value") == F.col("_v")) & F.col("kind").eqNullSafe(F.col("_k")))
@@ -165,7 +166,7 @@ def crossref(items: DataFrame, bronze: DataFrame, index: Index, source: str = "c
     kept = kept.withColumn("related", related).withColumn("preprint", F.col("type").isin("posted-content", "preprint", "report"))
     none = F.array().cast(_STRINGS)
     names = _distinct(F.concat(F.array(F.col("r.event.name")), F.coalesce("r.short-container-title", none), F.coalesce("r.container-title", none)))
-    kept = kept.withColumn("names", names)
+    kept = settled(kept.withColumn("names", names))
     tries = kept.where("NOT preprint").select("item_key", "route_ord", "pos", "type", F.col("r.DOI").alias("doi"), F.posexplode("names").alias("_at", "value"))
     free = rank(tries.select("value", F.lit(None).cast("string").alias("kind")), index).select("value", F.col("venue").alias("_free"))
     journal = rank(tries.where("type = 'journal-article'").select("value", F.lit("journal").alias("kind")), index).select("value", F.col("venue").alias("_journal"))
