@@ -168,7 +168,7 @@ def wrapped(record: Column, key: str) -> Column:
 
 def first_text(values: Column) -> Column:
     """The first element that is not blank, trimmed; null if there is none."""
-    return F.get(F.filter(F.transform(values, F.trim), lambda v: v != ""), F.lit(0))
+    return F.get(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""), F.lit(0))
 
 
 def page_contains(text: Column, title: Column, lastname: Column, context: Column) -> Column:

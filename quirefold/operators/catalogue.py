@@ -57,7 +57,7 @@ def renamed(name: Column) -> Column:
     """A struct (canonical, former array) of "X（原 A、B/C）"; no former names without the bracket."""
     pattern = r"^(.+?)（原\s*(.+?)）$"
     hit = name.rlike(pattern)
-    former = F.filter(F.transform(F.split(F.regexp_extract(name, pattern, 2), "[、/]"), F.trim), lambda n: n != "")
+    former = F.filter(F.transform(F.split(F.regexp_extract(name, pattern, 2), "[、/]"), lambda v: F.trim(v)), lambda n: n != "")
     return F.struct(F.trim(F.when(hit, F.regexp_extract(name, pattern, 1)).otherwise(name)).alias("canonical"), F.when(hit, former).otherwise(F.array().cast("array<string>")).alias("former"))
 
 
@@ -81,7 +81,7 @@ def parse_table(lines: DataFrame, file: str = "file") -> DataFrame:
     run = F.sum(F.when(domain.isNotNull(), 1).otherwise(0)).over(Window.partitionBy(file).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     keyed = forward_fill(lines.withColumn("_run", run), domain, "domain", (file,))
     keyed = forward_fill(keyed, F.nullif(F.regexp_extract("line", r"^###\s*([ABC])", 1), F.lit("")), "tier", (file, "_run"))
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda v: F.trim(v))
     rows = keyed.where(F.col("line").rlike(r"^\s*\|") & ~F.col("line").rlike(r"^\s*\|[\s:|-]+$") & F.col("tier").isNotNull()).withColumn("c", cells)
     return rows.where("size(c) >= 4").select(file, "domain", "tier", "line_no", *[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(("canonical", "full_name", "publisher", "url"))])
 
@@ -191,7 +191,7 @@ def build_index(catalogue: DataFrame, rankings: DataFrame) -> Index:
     derived = named.where("acronym AND length(compact) BETWEEN 4 AND 16").select(F.upper("compact").alias("compact"), "row_ord")
     short = named.where("NOT acronym AND length(compact) BETWEEN 2 AND 3 AND compact = upper(compact) AND compact RLIKE '[A-Z]'").select("compact", "row_ord")
     slug = catalogue.where("kind = 'conference'").select(F.lower(F.trim(blank(F.col("dblp_slug")))).alias("slug"), "row_ord").where("slug <> ''")
-    aliases = F.concat(F.filter(F.transform(F.split(F.lower(blank(F.col("aliases"))), r"\|"), F.trim), lambda a: a != ""), F.array(F.lower("canonical")))
+    aliases = F.concat(F.filter(F.transform(F.split(F.lower(blank(F.col("aliases"))), r"\|"), lambda v: F.trim(v)), lambda a: a != ""), F.array(F.lower("canonical")))
     core = rankings.select("ord", "canonical", F.coalesce(F.nullif(F.trim("kind"), F.lit("")), F.lit("conference")).alias("kind"), F.trim(blank(F.col("core_tier"))).alias("core_tier"),
                            F.trim(blank(F.col("write_as"))).alias("write_as"), aliases.alias("aliases"))
     core = core.select("*", F.posexplode("aliases").alias("alias_ord", "alias")).withColumn("tokens", F.array_join(ascii_tokens(F.col("alias")), " "))

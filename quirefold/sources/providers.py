@@ -106,7 +106,7 @@ def _parsed(bronze: DataFrame, schema: str) -> DataFrame:
 
 
 def _distinct(values: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != "")))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")))
 
 
 # ---------------------------------------------------------------- scholarly indexes
