@@ -12,7 +12,7 @@ from .catalogue import Index
 from .lookup import rank
 
 #: Lines of extra that this tool, or one like it, has written; {prefix} names the tool.
-TOOL_LINE = r"(?i)^\s*(?:\d+\s+citations\s*\(semantic\s*scholar\)|citations:\s*\d+\s*\(semanticscholar\)|(?:zotero|arxiv)-marker:|{prefix}:)"
+TOOL_LINE = r"(?i)^\s*(?:\d+\s+citations\s*\(semantic\s*scholar\)|citations:\s*\d+\s*\(semanticscholar\)|[a-z]+-marker:|{prefix}:)"
 
 #: Item fields that a proposal may set.
 FIELDS = ("publicationTitle", "journalAbbreviation", "ISSN", "proceedingsTitle", "conferenceName", "publisher", "DOI", "volume", "issue", "pages", "date", "extra")
