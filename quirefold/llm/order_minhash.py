@@ -7,10 +7,11 @@ similarity. Candidates are verified by a banded alignment of their words: texts
 their edit distance is at most (1 - SIMILARITY) of the longer one's words. Classes are the connected
 components of these links.
 
-Equal texts are one vertex. A bucket of n texts costs about n candidates, not n * n: each text is compared
-with the bucket's most central one, then what remains unlinked with the next, until a round finds no
-link. A text central to a group of copies links the group at once; two near-duplicates stay apart only
-if all buckets that they share are led by strangers to both in every round.
+Equal texts are one vertex. First each text of a bucket is compared with the bucket's most central one,
+then what remains unlinked with the next, until a round finds no link: a text central to a group of
+copies links the group at once. Then every pair of a bucket that is still in different components and
+was not compared is either refuted by an exact bound (word counts, then counts of words by hash) or
+verified, so every pair that shares a sketch is settled. Large buckets are split into blocks for that.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ SKETCHES = 32
 PICKED = 2
 SIMILARITY = 0.8
 
+#: Counters of a text's words by hash, and the members of a bucket's block.
+BINS = 128
+BLOCK = 1000
+
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _OCCURRENCE = np.uint64(0x94D049BB133111EB)
 _S = np.uint64(32)
@@ -172,7 +177,63 @@ def _verified(similarity: float):
     return run
 
 
-def _links(texts: DataFrame, stages: Stages, k: int, count: int, picked: int, similarity: float) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vertex, text) as (vertex, size, bins): the number of words, and of words in each of BINS classes, 255 at most."""
+    known = WordHashes()
+    for batch in batches:
+        sizes, bins = [], []
+        for t in batch.column("text"):
+            h = np.fromiter(map(known.__getitem__, split_words(t.as_py())), np.uint64)
+            sizes.append(len(h))
+            bins.append(np.minimum(np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(sizes, pa.int32()), pa.array(bins, pa.binary())], names=["vertex", "size", "bins"])
+
+
+def _possible(similarity: float):
+    """Keeps the pairs that the counters do not refute: an edit adds at most one word to a text and takes at most one away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins_u", "bins_v"))
+            size = np.maximum(batch.column("size_u").to_numpy(), batch.column("size_v").to_numpy())
+            least = np.maximum(np.maximum(a - b, 0).sum(axis=1), np.maximum(b - a, 0).sum(axis=1))
+            yield batch.select(["u", "v"]).filter(pa.array(least <= ((1 - similarity) * size + 1e-9).astype(np.int64)))
+
+    return run
+
+
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("root", F.col("vertex"))
+    return members.join(roots.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+
+
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    if tried is None:
+        return pairs
+    return pairs.join(tried, ["u", "v"], "left_anti").join(tried.toDF("v", "u"), ["u", "v"], "left_anti")
+
+
+def _remaining(members: DataFrame, own: DataFrame, roots: DataFrame | None, tried: DataFrame | None, stages: Stages, similarity: float, block: int) -> DataFrame:
+    """(u, v): the pairs of different components that share a bucket, were not tried and are not refuted by an exact bound."""
+    at = _rooted(members.select("key", "vertex"), roots)
+    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / block).alias("blocks"))
+    counted = stages.keep(own.mapInArrow(_counted, "vertex long, size int, bins binary"), "counted")
+    at = at.join(mixed, "key").join(counted.select("vertex", "size"), "vertex").withColumn("own", F.expr("pmod(xxhash64(vertex), blocks)"))
+    at = stages.keep(at, "mixed")
+    named = lambda x: [F.col(c).alias(c + x) for c in ("vertex", "root", "size")]
+    one = at.select("key", *named("_u"), F.col("own").alias("a"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("b"))
+    two = at.select("key", *named("_v"), F.explode(F.expr("sequence(0L, own)")).alias("a"), F.col("own").alias("b"))
+    longer, shorter = F.greatest("size_u", "size_v"), F.least("size_u", "size_v")
+    near = longer - shorter <= F.floor(F.lit(1 - similarity) * longer + 1e-9)
+    met = one.join(two, ["key", "a", "b"]).where((F.col("root_u") != F.col("root_v")) & ((F.col("a") != F.col("b")) | (F.col("vertex_u") < F.col("vertex_v"))) & near)
+    pairs = _untried(met.select(F.least("vertex_u", "vertex_v").alias("u"), F.greatest("vertex_u", "vertex_v").alias("v")).distinct(), tried)
+    pairs = stages.keep(pairs, "met")
+    side = lambda x: counted.toDF(x, f"size_{x}", f"bins_{x}")
+    return stages.keep(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_possible(similarity), "u long, v long"), "possible")
+
+
+def _links(texts: DataFrame, stages: Stages, k: int, count: int, picked: int, similarity: float, block: int) -> DataFrame:
     """(id, root) of the classes among texts (vertex, text), without the roots."""
     every = stages.keep(texts.mapInArrow(_sketched(k, count, picked), "key long, vertex long"), "sketches")
     live = stages.keep(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "live")
@@ -182,9 +243,10 @@ def _links(texts: DataFrame, stages: Stages, k: int, count: int, picked: int, si
     stages.drop("sketches", "live", "members")
     own = stages.keep(texts.join(small(members.select("vertex").distinct(), 16), "vertex", "left_semi"), "texts")
     best = F.max(F.struct("rank", (-F.col("vertex")).alias("v")))
-    roots, edges, led, round_ = None, None, None, 0
+    verified = lambda pairs: pairs.join(own.toDF("u", "text_u"), "u").join(own.toDF("v", "text_v"), "v").mapInArrow(_verified(similarity), "u long, v long")
+    roots, edges, tried, led, round_ = None, None, None, None, 0
     while True:
-        at = members.withColumn("root", F.col("vertex")) if roots is None else members.join(roots.withColumnRenamed("id", "vertex"), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+        at = _rooted(members, roots)
         if led is not None:
             done = led.join(at.select("key", "vertex", "root"), ["key", "vertex"]).select("key", "root").distinct()
             at = at.join(done, ["key", "root"], "left_anti")
@@ -192,26 +254,28 @@ def _links(texts: DataFrame, stages: Stages, k: int, count: int, picked: int, si
         reps = stages.keep(reps, f"reps{round_}")
         leaders = stages.keep(reps.groupBy("key").agg(best.alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (-F.col("b.v")).alias("leader")), f"leaders{round_}")
         pairs = reps.join(leaders, "key").where("vertex <> leader").select(F.col("leader").alias("u"), F.col("vertex").alias("v")).distinct()
-        if round_:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti").join(tried.toDF("v", "u"), ["u", "v"], "left_anti")
-        pairs = stages.keep(pairs, f"pairs{round_}")
+        pairs = stages.keep(_untried(pairs, tried), f"pairs{round_}")
         if pairs.isEmpty():
             break
-        texted = pairs.join(own.select(F.col("vertex").alias("u"), F.col("text").alias("text_u")), "u").join(own.select(F.col("vertex").alias("v"), F.col("text").alias("text_v")), "v")
-        links = stages.keep(texted.mapInArrow(_verified(similarity), "u long, v long"), f"links{round_}")
+        links = stages.keep(verified(pairs), f"links{round_}")
+        tried = pairs if tried is None else tried.union(pairs)
         if links.isEmpty():
             break
         edges = links if edges is None else edges.union(links)
-        tried = pairs if not round_ else tried.union(pairs)
         led = leaders.withColumnRenamed("leader", "vertex") if led is None else led.union(leaders.withColumnRenamed("leader", "vertex"))
         roots = components(edges, stages, f"components{round_}-")
         round_ += 1
+    left = _remaining(members, own, roots, tried, stages, similarity, block)
+    links = stages.keep(verified(left), "last-links")
+    if not links.isEmpty():
+        edges = links if edges is None else edges.union(links)
+        roots = components(edges, stages, "last-components-")
     if roots is None:
         return members.select(F.col("vertex").alias("id"), F.col("vertex").alias("root")).limit(0)
     return roots
 
 
-def near_duplicates(docs: DataFrame, k: int = K, count: int = SKETCHES, picked: int = PICKED, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = K, count: int = SKETCHES, picked: int = PICKED, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text and any others) with class_id: the smallest doc_id of the row's class of near-duplicates.
 
     Equal texts share a class, null and empty texts among them. Texts that differ are candidates only if
@@ -224,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = K, count: int = SKETCHES, picked:
     equal = stages.keep(equal, "equal")
     based = marked.join(small(equal, 120), "_q_key", "left").withColumn("_q_vertex", F.when(F.col("doc_id").isNotNull(), F.coalesce("_q_least", "doc_id").cast("long"))).drop("_q_key", "_q_least")
     texts = based.where("_q_vertex = doc_id AND text IS NOT NULL").select(F.col("_q_vertex").alias("vertex"), "text")
-    roots = _links(texts, stages, k, count, picked, similarity)
+    roots = _links(texts, stages, k, count, picked, similarity, block)
     roots = roots.select(F.col("id").alias("_q_vertex"), F.col("root").alias("_q_root"))
     out = based.join(small(roots, 32), "_q_vertex", "left")
     return out.withColumn("class_id", F.coalesce("_q_root", "_q_vertex")).drop("_q_root", "_q_vertex")

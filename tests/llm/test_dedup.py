@@ -48,6 +48,44 @@ def test_classes_match_brute_force(spark):
     assert got == brute.classes(rows)
 
 
+def edited(words, share, tag):
+    """words with that share of them, evenly spread, replaced by new ones."""
+    out, n = list(words), round(share * len(words))
+    for i in random.sample(range(len(out)), n):
+        out[i] = f"{tag}{i}"
+    return out
+
+
+def drifting(seed=5, chains=12, length=7):
+    """Chains of versions, each an edit of the last, beside texts that share a passage with all of them."""
+    random.seed(seed)
+    vocabulary, passage, rows = [f"w{i}" for i in range(3000)], [f"p{i}" for i in range(30)], []
+    for c in range(chains):
+        now = random.choices(vocabulary, k=90)
+        for step in range(length):
+            now = edited(now, 0.14, f"c{c}s{step}x")
+            rows.append(" ".join(passage + now))
+    random.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_drifting_versions_in_shared_buckets(spark, block):
+    rows = drifting()
+    got = dict(order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).select("doc_id", "class_id").collect())
+    assert got == brute.classes(rows)
+
+
+def test_counters_refute_no_near_duplicate(spark):
+    random.seed(8)
+    base = random.choices([f"w{i}" for i in range(50)], k=2000)
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, 0.2, "x"))), (3, " ".join(edited(base, 0.5, "y")))]
+    counted = {r["vertex"]: r for r in spark.createDataFrame(rows, "vertex long, text string").mapInArrow(order_minhash._counted, "vertex long, size int, bins binary").collect()}
+    pairs = [(u, v, *(counted[x][c] for c in ("size", "bins") for x in (u, v))) for u, v in ((1, 2), (1, 3))]
+    frame = spark.createDataFrame(pairs, "u long, v long, size_u int, size_v int, bins_u binary, bins_v binary")
+    assert [tuple(r) for r in frame.mapInArrow(order_minhash._possible(0.8), "u long, v long").collect()] == [(1, 2)]
+
+
 def test_classes_on_table(spark, sf, duck):
     rows = duck.sql("SELECT doc_id, text FROM documents").fetchall()
     assert dict(order_minhash.op1_order_minhash(spark, sf).collect()) == brute.classes(rows)
