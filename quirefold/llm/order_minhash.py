@@ -29,10 +29,13 @@ from .components import components
 from .kernels import WordHashes, batched, grams, split_words
 
 K = 5
-SKETCHES = 32
+SKETCHES = 160
 PICKED = 2
 SIMILARITY = 0.8
 
+#: Sketches whose buckets are found at once.
+TOGETHER = 32
+
 #: Counters of a text's words by hash, and the members of a bucket's block.
 BINS = 128
 BLOCK = 1000
@@ -157,7 +160,9 @@ def _sketched(k: int, count: int, picked: int):
             ids = batch.column("vertex").to_numpy()
             for keys, h, ends in batched(enumerate(t.as_py() for t in batch.column("text")), known):
                 docs, found = sketches(h, ends, k, count, picked)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(ids[np.array(keys)[docs]] if len(docs) else ids[:0])], names=["key", "vertex"])
+                n = len(docs) // count
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * count), pa.array(np.ascontiguousarray(found.reshape(count, n).T).astype(np.int64).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(keys)[docs[:n]]] if n else ids[:0]), rows], names=["vertex", "keys"])
 
     return run
 
@@ -235,12 +240,16 @@ def _remaining(members: DataFrame, own: DataFrame, roots: DataFrame | None, trie
 
 def _links(texts: DataFrame, stages: Stages, k: int, count: int, picked: int, similarity: float, block: int) -> DataFrame:
     """(id, root) of the classes among texts (vertex, text), without the roots."""
-    every = stages.keep(texts.mapInArrow(_sketched(k, count, picked), "key long, vertex long"), "sketches")
-    live = stages.keep(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "live")
-    members = stages.keep(every.join(live, "key").distinct(), "members")
+    sketched = stages.keep(texts.mapInArrow(_sketched(k, count, picked), "vertex long, keys array<long>"), "sketches")
+    members = None
+    for first in range(0, count, TOGETHER):
+        every = sketched.select(F.explode(F.slice("keys", first + 1, TOGETHER)).alias("key"), "vertex")
+        live = stages.keep(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "live")
+        some = stages.keep(every.join(live, "key").distinct(), f"members{first}")
+        members = some if members is None else members.union(some)
     central = members.groupBy("vertex").agg(F.sum("n").alias("rank"))
     members = stages.keep(members.join(central, "vertex").select("key", "vertex", "rank"), "ranked")
-    stages.drop("sketches", "live", "members")
+    stages.drop("sketches", "live", *[f"members{first}" for first in range(0, count, TOGETHER)])
     own = stages.keep(texts.join(small(members.select("vertex").distinct(), 16), "vertex", "left_semi"), "texts")
     best = F.max(F.struct("rank", (-F.col("vertex")).alias("v")))
     verified = lambda pairs: pairs.join(own.toDF("u", "text_u"), "u").join(own.toDF("v", "text_v"), "v").mapInArrow(_verified(similarity), "u long, v long")

@@ -76,6 +76,18 @@ def test_drifting_versions_in_shared_buckets(spark, block):
     assert got == brute.classes(rows)
 
 
+def test_recall_just_over_the_threshold(spark):
+    random.seed(11)
+    vocabulary, rows = [f"w{i}" for i in range(5000)], []
+    for i in range(150):
+        base = random.choices(vocabulary, k=200)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(base, (0.2, 0.18, 0.15)[i % 3], "x")))]
+    got = dict(order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect())
+    want = brute.classes(rows)
+    missed = sum(got[d] != c for d, c in want.items())
+    assert len(set(want.values())) == 150 and missed <= 2
+
+
 def test_counters_refute_no_near_duplicate(spark):
     random.seed(8)
     base = random.choices([f"w{i}" for i in range(50)], k=2000)
