@@ -2,8 +2,9 @@
 
 Hosts most of whose pages the rules allow are trusted seeds, hosts most of whose pages they block are
 blocked seeds. Trust flows along links by personalised PageRank, distrust flows against them, from the
-linked host back to the linking one; a host without such a link keeps its mass. A host whose distrust
-exceeds its trust by THRESHOLD is blocked. The iterations run over a table with one row for each pair of linked hosts.
+linked host back to the linking one; a host without such a link keeps its mass. Distrust that is shared
+out over a host's in-links fades as they grow, so a second measure, leaning, is the distrust that a
+walk from the host along its links meets. A host whose distrust or leaning exceeds its trust by THRESHOLD is blocked. The iterations run over a table with one row for each pair of linked hosts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ THRESHOLD = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
+#: Also links without a scheme, //host/.
+_ANY_LINK = _LINK.replace("[a-z][a-z0-9+.-]*://", "(?:[a-z][a-z0-9+.-]*:)?//")
+
 
 def _rest(url: Column) -> Column:
     at = F.locate("://", url)
@@ -54,26 +58,28 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links) for each pair of different hosts that absolute links in html join; pages: host, html."""
-    links = pages.where(F.col("host") != "").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("to"))
+    links = pages.where(F.col("host") != "").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_ANY_LINK), F.lit(1))).alias("to"))
+    links = links.withColumn("to", F.regexp_replace("to", "^//", "http://"))
     return links.select("src", url_host(F.col("to")).alias("dst")).where("dst <> '' AND dst <> src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, stages: Stages, iterations: int = ITERATIONS) -> DataFrame:
-    """(host, trust, distrust) for every host of seeds (host, trust, distrust) and edges (src, dst, links)."""
+    """(host, trust, distrust, leaning) for every host of seeds (host, trust, distrust) and edges (src, dst, links)."""
     linked = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
-    nodes = stages.keep(linked.join(seeds, "host", "full").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]), "nodes")
+    nodes = stages.keep(linked.join(seeds, "host", "full").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")]).withColumn("leaning", F.col("distrust")), "nodes")
     out = edges.groupBy("src").agg(F.sum("links").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("total"))
-    along = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("links") / F.col("total")).alias("wt"), F.lit(0.0).alias("wd"))
-    back = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (F.col("links") / F.col("total")).alias("wd"))
+    along = edges.join(out, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("links") / F.col("total")).alias("wt"), F.lit(0.0).alias("wd"), F.lit(0.0).alias("wl"))
+    back = edges.join(into, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (F.col("links") / F.col("total")).alias("wd"), F.lit(0.0).alias("wl"))
+    lean = edges.join(out, "src").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), F.lit(0.0).alias("wd"), (F.col("links") / F.col("total")).alias("wl"))
     own = nodes.join(out.select(F.col("src").alias("host")).withColumn("o", F.lit(1)), "host", "left").join(into.select(F.col("dst").alias("host")).withColumn("i", F.lit(1)), "host", "left")
-    own = own.where("o IS NULL OR i IS NULL").select(F.col("host").alias("a"), F.col("host").alias("b"), F.when(F.col("o").isNull(), 1.0).otherwise(0.0).alias("wt"), F.when(F.col("i").isNull(), 1.0).otherwise(0.0).alias("wd"))
-    flows = stages.keep(along.unionByName(back).unionByName(own), "flows")
+    own = own.where("o IS NULL OR i IS NULL").select(F.col("host").alias("a"), F.col("host").alias("b"), F.when(F.col("o").isNull(), 1.0).otherwise(0.0).alias("wt"), F.when(F.col("i").isNull(), 1.0).otherwise(0.0).alias("wd"), F.when(F.col("o").isNull(), 1.0).otherwise(0.0).alias("wl"))
+    flows = stages.keep(along.unionByName(back).unionByName(lean).unionByName(own), "flows")
     vector, last = nodes, ""
     for step in range(1, iterations + 1):
-        moved = flows.join(vector.select(F.col("host").alias("a"), "trust", "distrust"), "a").groupBy(F.col("b").alias("host")).agg(
-            F.sum(F.col("trust") * F.col("wt")).alias("t"), F.sum(F.col("distrust") * F.col("wd")).alias("d"))
-        vector = nodes.join(moved, "host", "left").select("host", *[((1 - DAMPING) * F.col(c) + DAMPING * F.coalesce(F.col(c[0]), F.lit(0.0))).alias(c) for c in ("trust", "distrust")])
+        moved = flows.join(vector.select(F.col("host").alias("a"), "trust", "distrust", "leaning"), "a").groupBy(F.col("b").alias("host")).agg(
+            F.sum(F.col("trust") * F.col("wt")).alias("t"), F.sum(F.col("distrust") * F.col("wd")).alias("d"), F.sum(F.col("leaning") * F.col("wl")).alias("l"))
+        vector = nodes.join(moved, "host", "left").select("host", *[((1 - DAMPING) * F.col(c) + DAMPING * F.coalesce(F.col(c[0]), F.lit(0.0))).alias(c) for c in ("trust", "distrust", "leaning")])
         if step % STEPS_A_STAGE == 0 or step == iterations:
             vector = stages.keep(vector, f"vector{step}")
             if last:
@@ -95,8 +101,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, thre
         *[F.when(2 * F.count_if(F.col("_q_fit.verdict") == v) > F.count(F.lit(1)), 1.0).otherwise(0.0).alias(c) for c, v in (("trust", "allow"), ("distrust", "block"))])
     seeds = stages.keep(seeds, "seeds")
     edges = stages.keep(host_edges(judged.select("host", F.col("_q_html").alias("html"))), "edges")
-    scores = seeds if edges.isEmpty() else propagate(seeds, edges, stages)  # without links every host keeps its seed
-    blocked = stages.keep(scores.where(F.col("distrust") - F.col("trust") >= threshold).select("host"), "blocked").withColumn("_q_bad", F.lit(True))
+    scores = seeds.withColumn("leaning", F.col("distrust")) if edges.isEmpty() else propagate(seeds, edges, stages)  # without links every host keeps its seed
+    blocked = stages.keep(scores.where(F.greatest("distrust", "leaning") - F.col("trust") >= threshold).select("host"), "blocked").withColumn("_q_bad", F.lit(True))
     out = judged.drop("_q_html").join(small(blocked, 300), "host", "left")
     verdict = F.coalesce("_q_fit.verdict", F.when(F.col("_q_bad"), "block").otherwise("allow"))
     return out.withColumn("rule", F.col("_q_fit.rule")).withColumn("verdict", verdict).drop("_q_fit", "_q_bad")

@@ -89,6 +89,16 @@ def test_propagation_against_sql(spark, tmp_path):
     assert verdicts[2] == "block" and verdicts[5] == "allow"
 
 
+@pytest.mark.parametrize("linked", [False, True])
+def test_blocked_seed_with_many_linkers(spark, linked):
+    rows = [(0, "https://bad.net/", None)]
+    for i in range(1, 41):
+        rows.append((i, f"https://farm{i}.info/", '<a href="//bad.net/p">t</a>' + (f'<a href="//farm{i % 40 + 1}.info/">n</a>' if linked else "")))
+    rows.append((99, "https://portal.info/", '<a href="//bad.net/">t</a>' + "".join(f'<a href="https://other{i}.info/">t</a>' for i in range(60))))
+    verdicts = {r["page_id"]: r["verdict"] for r in linkgraph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {verdicts[i] for i in range(41)} == {"block"} and verdicts[99] == "allow"
+
+
 # ------------------------------------------------------------- quality
 
 
