@@ -7,6 +7,10 @@ values are compared along the alignment: each benchmark value must stand for one
 type and the reverse, so a re-parameterised question is caught and a chance template is not. A document
 is contaminated by an item if, on one alignment, the windows that remain cover min(MIN_TOKENS, the
 item's tokens) tokens or more.
+
+What this template misses is sought by two others: one where every capitalised run is a name, so names
+that open a sentence count, and one without placeholders, which finds an item of which every token stands
+as it is, so an item rich in numbers is found where its windows hold too few other tokens.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ MIN_TOKENS = 13
 #: A window needs this many tokens that are no placeholders (all of them in an item shorter than that).
 MIN_LITERALS = 4
 
+#: For min_tokens: every token of the item.
+WHOLE = 2**31 - 1
+
 NUM, NAME, UNIT = "", "", ""
 _MARKS = {"num": NUM, "name": NAME, "unit": UNIT}
 
@@ -40,31 +47,34 @@ _BY_LENGTH = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
 QUANTITY = rf"(?i)({_NUMBER})[ -]?({_BY_LENGTH})([^\p{{L}}\p{{N}}]|$)"
 NUMBER = _NUMBER
 NAMES = r"([\p{L}\p{N},;] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
+#: Names wherever they stand.
+ALL_NAMES = r"((?:^|[^\p{L}\p{N}]))(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 OTHER = f"[^\\p{{L}}\\p{{N}}{NUM}{NAME}{UNIT}]+"
 
 
-def _marked(text: Column) -> tuple[Column, Column, Column]:
+def _marked(text: Column, names: str = NAMES) -> tuple[Column, Column, Column]:
     """text with quantities, then numbers, then names replaced."""
     one = F.regexp_replace(F.coalesce(text, F.lit("")), QUANTITY, f" {NUM} {UNIT} $3")
     two = F.regexp_replace(one, NUMBER, f" {NUM} ")
-    return one, two, F.regexp_replace(two, NAMES, f"$1{NAME}")
+    return one, two, F.regexp_replace(two, names, f"$1{NAME}")
 
 
-def template(text: Column) -> Column:
-    """The template tokens of a text as an array; empty for null."""
-    flat = F.regexp_replace(F.lower(_marked(text)[2]), OTHER, " ")
+def template(text: Column, names: str | None = NAMES) -> Column:
+    """The template tokens of a text as an array; empty for null. names: the pattern of names; null for no placeholders at all."""
+    raw = F.coalesce(text, F.lit("")) if names is None else _marked(text, names)[2]
+    flat = F.regexp_replace(F.lower(raw), OTHER, " ")
     return F.filter(F.split(flat, " "), lambda x: x != "")
 
 
-def slots(text: Column, tokens: Column) -> Column:
+def slots(text: Column, tokens: Column, names: str = NAMES) -> Column:
     """array<struct<kind, at, value>>: the placeholders among tokens, with what they stand for."""
-    one, two, _ = _marked(text)
+    one, two, _ = _marked(text, names)
     # numbers in order: a quantity's number stays findable beside its marks only in the raw text
     raw = F.coalesce(text, F.lit(""))
     kept = F.regexp_replace(raw, QUANTITY, f" {NUM}$1 {UNIT} $3")
     number = F.regexp_extract_all(kept, F.lit(NUMBER), F.lit(0))
     unit = F.transform(F.regexp_extract_all(raw, F.lit(QUANTITY), F.lit(2)), F.lower)
-    name = F.regexp_extract_all(two, F.lit(NAMES), F.lit(2))
+    name = F.regexp_extract_all(two, F.lit(names), F.lit(2))
     parts = []
     for kind, values in (("num", number), ("unit", unit), ("name", name)):
         parts.append(_placed(kind, tokens, values))
@@ -110,9 +120,19 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, min_tokens: int, min_literals: int) -> tuple[DataFrame, DataFrame]:
-    """(docs with their key, a row for each key and item it holds)."""
+    """(docs with their key, a row for each key and item it holds), by the first template that finds it."""
+    keyed, best = _leaks_by(NAMES, docs, benchmark, window, min_tokens, min_literals)
+    for names in (ALL_NAMES, None):
+        more = _leaks_by(names, docs, benchmark, window, min_tokens if names else WHOLE, min_literals)[1]
+        best = best.unionByName(more.join(best.select("key", "item_id"), ["key", "item_id"], "left_anti"))
+    return keyed, best
+
+
+def _leaks_by(names: str | None, docs: DataFrame, benchmark: DataFrame, window: int, min_tokens: int, min_literals: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with their key, a row for each key and item it holds) by one template."""
     stages = Stages(docs.sparkSession)
-    items = benchmark.select("item_id", "text").distinct().withColumn("tokens", template(F.col("text"))).withColumn("slots", slots(F.col("text"), F.col("tokens")))
+    items = benchmark.select("item_id", "text").distinct().withColumn("tokens", template(F.col("text"), names))
+    items = items.withColumn("slots", slots(F.col("text"), F.col("tokens"), names or NAMES))
     items = stages.keep(items.withColumn("key", F.xxhash64("item_id", "text")).where("size(tokens) > 0"), "items")
     short = [r[0] for r in items.where(F.size("tokens") < window).select(F.size("tokens")).distinct().collect()]  # under window of them
     sizes = sorted({window, *short})
@@ -123,11 +143,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, min_tokens: int,
     bench = bench.where((F.col("size") == F.least(F.lit(window), F.col("n"))) & (literals >= F.least(F.lit(min_literals), F.col("n"))))
     bench = stages.keep(bench.select(F.col("key").alias("item"), "size", F.col("at").alias("item_at"), "hash", (literals < F.col("size")).alias("slotted")), "bench")
     keyed = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    found = _windows(keyed.select("key", template(F.col("text")).alias("tokens")), sizes).join(small(bench, 40), ["size", "hash"])
+    found = _windows(keyed.select("key", template(F.col("text"), names).alias("tokens")), sizes).join(small(bench, 40), ["size", "hash"])
     found = stages.keep(found.select("key", "item", "size", "slotted", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "found")
     good = found.where("NOT slotted")
     if not found.where("slotted").isEmpty():
-        good = good.unionByName(_consistent(keyed, items, found, stages))
+        good = good.unionByName(_consistent(keyed, items, found, stages, names or NAMES))
     steps = F.expr("zip_with(p, slice(p, 2, greatest(size(p), 1)), (a, b) -> least(size, coalesce(b - a, size)))")
     cover = good.groupBy("key", "item", "shift", "size").agg(F.array_sort(F.collect_set("item_at")).alias("p"))  # no more than the item's windows
     cover = cover.withColumn("n_covered", F.aggregate(steps, F.lit(0), lambda n, g: n + g))
@@ -136,12 +156,12 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, min_tokens: int,
     return keyed, stages.keep(best, "best")
 
 
-def _consistent(keyed: DataFrame, items: DataFrame, found: DataFrame, stages: Stages) -> DataFrame:
+def _consistent(keyed: DataFrame, items: DataFrame, found: DataFrame, stages: Stages, names: str) -> DataFrame:
     """The slotted rows of found on alignments whose placeholder values map one to one."""
     lines = found.where("slotted")
     need = stages.keep(lines.select("key").distinct(), "need")
-    texts = keyed.join(small(need, 16), "key", "left_semi").select("key", "text").distinct().withColumn("tokens", template(F.col("text")))
-    own = texts.select("key", F.explode(slots(F.col("text"), F.col("tokens"))).alias("s")).select("key", "s.kind", F.col("s.at").alias("at"), F.col("s.value").alias("value"))
+    texts = keyed.join(small(need, 16), "key", "left_semi").select("key", "text").distinct().withColumn("tokens", template(F.col("text"), names))
+    own = texts.select("key", F.explode(slots(F.col("text"), F.col("tokens"), names)).alias("s")).select("key", "s.kind", F.col("s.at").alias("at"), F.col("s.value").alias("value"))
     theirs = items.select(F.col("key").alias("item"), F.explode("slots").alias("s")).select("item", F.col("s.kind").alias("kind"), F.col("s.at").alias("item_pos"), F.col("s.value").alias("item_value"))
     spots = lines.select("key", "item", "shift", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("item_pos")).distinct()
     pairs = spots.join(theirs, ["item", "item_pos"]).withColumn("at", F.col("item_pos") + F.col("shift")).join(own, ["key", "kind", "at"])

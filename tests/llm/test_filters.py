@@ -44,6 +44,12 @@ def test_reparameterised_questions(spark):
     assert (2, 1) not in leaks(spark, [(2, broken)], [(1, QUESTION)])
 
 
+def test_names_that_open_a_sentence_and_verbatim_numbers(spark):
+    bench = [(1, "Anna has 5 pens. Ben has 7 pens. Carl has 9 pens. How many pens do they have altogether?"), (2, "Tom buys 12 apples and eats 5 of them, how many remain?"), (3, "Compute 12 + 7 * 3 - 45 / 9 + 8 now.")]
+    docs = [(1, "Dora has 4 pens. Emil has 8 pens. Finn has 6 pens. How many pens do they have altogether?"), (2, "So. Sue buys 30 apples and eats 4 of them, how many remain?"), (3, bench[2][1]), (4, "Compute 13 + 7 * 3 - 45 / 9 + 8 now."), (5, "Dora has 4 pens. Emil has 8 pens. Dora has 6 pens. How many pens do they have altogether?")]
+    assert leaks(spark, docs, bench) == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_short_items_and_empty_tables(spark):
     assert leaks(spark, [(1, "here are three words only for you"), (2, "three words")], [(4, "Three words only")]) == {(1, 4)}
     assert leaks(spark, [], [(4, "Three words only")]) == set() and leaks(spark, [(1, "a")], []) == set()
