@@ -46,6 +46,13 @@ SPELLINGS = (
 #: A line that is only a copyright statement, after any comment marks.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;%!.-]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
 
+#: The same for lower-cased text, but only with what makes a statement, so a wrapped clause of a licence that begins with these words stays:
+#: a mark, a year, "by" or a name after "copyright"; a year or "copyright" after "(c)".
+STATEMENT_LINE = (
+    r"(?m)^[ \t*#/;%!.-]*(?:copyright[ \t]*(?::|,|\(c\)|©|&copy;|[0-9]{4}\b|by\b)|copyright[ \t]+(?!(?:holders?|owners?|notices?|laws?|licen[sc]es?|statements?|"
+    r"interests?|rights?|treaty|treaties|protection|and|or|in|is|are|be|as|to|of|the|on|for|which|that|may|shall|will|if|with|under)\b)\p{L}|\(c\)[ \t]*(?:copyright\b|[0-9]{4}\b)|©|all rights reserved)[^\n]*$"
+)
+
 #: Lines that can be a notice mention one of these.
 NOTICE_CUE = r"(?i)licen[sc]e|spdx|public domain"
 
@@ -127,7 +134,7 @@ NOTICES = (
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
+    t = F.regexp_replace(t, STATEMENT_LINE, "")
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for found, kept in SPELLINGS:
         t = F.replace(t, F.lit(found), F.lit(kept))

@@ -25,6 +25,17 @@ def test_licence_digests(spark):
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_wraps_do_not_change_a_licence(spark):
+    mit = dict(licences.LICENCE_TEXTS[:1])["MIT"]
+    flat = " ".join(mit.split())
+    usual = flat.replace("THE AUTHORS OR COPYRIGHT", "THE\nAUTHORS OR COPYRIGHT")
+    head = "MIT License\n\nCopyright (c) 2020 Someone\nCopyright Jane Doe\n(c) 2021 Other\n\n"
+    clause = "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,"
+    rows = [(1, head + usual), (2, flat), (3, mit), (4, "\n".join(flat.split())), (5, flat.replace(clause + " ", "")), (6, "(c) You must retain all notices")]
+    out = {r["doc_id"]: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i]["licence_id"] for i in range(1, 7)] == ["MIT"] * 4 + [None] * 2 and out[6]["licence_digest"] != brute.sha("")
+
+
 # ------------------------------------------------------------- decontamination
 
 QUESTION = "If Alice Brown buys 12 apples for 3 dollars and gives 12 of them to Bob, how many apples does Alice Brown have left over today?"
