@@ -6,7 +6,7 @@ folder and rereads it as the next stage's docs. All but the last return the colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm import bpe, cascade, decontaminate, order_minhash, substring
@@ -19,12 +19,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each class of near-duplicates, the document with the smallest doc_id; rows without a doc_id stay."""
-    kept = order_minhash.near_duplicates(docs).where("class_id IS NULL OR class_id = doc_id").select(*docs.columns)
+    """Keeps, of each class of near-duplicates, the document with the smallest doc_id; rows without a doc_id stay.
+
+    Texts that differ are documents of their own, also under one doc_id; of those in one class the smallest digest stays.
+    """
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+        return order_minhash.near_duplicates(docs).where("class_id IS NULL OR class_id = doc_id").select(*docs.columns)
+    digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    named = docs.where("doc_id IS NOT NULL").withColumn("_near_digest", digest).withColumn("_near_id", F.xxhash64("doc_id", "_near_digest"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("_near_id").orderBy("text", *others)
+    named = named.withColumn("_near_row", F.row_number().over(first)).where("_near_row = 1")
+    classes = order_minhash.near_duplicates(named.select(F.col("_near_id").alias("doc_id"), "text", F.col("doc_id").alias("_near_doc"), "_near_digest"))
+    least = classes.groupBy("class_id").agg(F.min_by("doc_id", F.struct("_near_doc", "_near_digest")).alias("_near_id"))
+    kept = named.join(least.select("_near_id"), "_near_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,10 @@ def test_stages_keep_columns_and_edges(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert corpus_pipeline.near_dedup(spark, docs, sf).count() == 3
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "decontamination", "bpe"]
+
+
+def test_unlike_texts_under_one_id_stay(spark, sf):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "text A"), (1, "unlike text B"), (1, "text A"), (2, "text A"), (3, long), (4, long + " more"), (4, "quite another"), (None, "text A")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "text A"), (1, "unlike text B"), (3, long), (4, "quite another"), (None, "text A")], key=str)
