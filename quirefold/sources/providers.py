@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..functions import markup as M
-from ..functions.text import author_matches, first_author_lastname, norm_people, norm_person, norm_title, similarity_of, title_jaccard, title_similarity
+from ..functions.text import author_matches, first_author_lastname, norm_people, norm_person, norm_title, paper_context, similarity_of, title_jaccard, title_similarity
 from ..operators.catalogue import Index
 from ..operators.lookup import find_in_text, lookup_slug, rank
 from ..operators.resolve import HIT
@@ -399,10 +399,10 @@ def snippet_hits(results: DataFrame, items: DataFrame, index: Index) -> DataFram
 
 
 def page_hits(items: DataFrame, pages: DataFrame, index: Index, source: str = "official_web", known: bool = True) -> DataFrame:
-    """Hits of paper pages (item_key, route_ord, pos, url, html): the page must hold the title and author and name a venue that is known.
+    """Hits of paper pages (item_key, route_ord, pos, url, html, and the title and snippet of the search result if there are any): the page must hold the title and author and name a venue that is known.
 
     Only if it names none is the venue sought in its text. Pages that are not formal need words of acceptance;
-    words of its lack turn a page down. known: whether only official hosts count.
+    words of its lack turn a page down; both are sought near the title and in the search result. known: whether only official hosts count.
     """
     h = F.col("html")
     meta = lambda *n: M.meta_values(h, *n)
@@ -425,7 +425,7 @@ def page_hits(items: DataFrame, pages: DataFrame, index: Index, source: str = "o
     kept = kept.join(in_text, "text", "left").withColumn("structured", F.size("names") > 0)
     kept = kept.where(F.col("venue").isNotNull() | (~F.col("structured") & F.col("row_name").isNotNull()))
     formal = K.is_official_host(K.host_of(F.col("url"))) | F.col("url").rlike("(?i)/presentation/|accepted-papers|technical-sessions|proceedings")
-    proof = F.when((F.size("titles") > 0) & formal, F.concat_ws(" ", meta("citation_conference_title", "citation_journal_title", "citation_section"))).otherwise(F.substring("text", 1, 4000))
+    proof = F.when((F.size("titles") > 0) & formal, F.concat_ws(" ", meta("citation_conference_title", "citation_journal_title", "citation_section"))).otherwise(F.concat_ws(" ", *[c for c in ("title", "snippet") if c in pages.columns], paper_context(F.col("text"), F.col("q_title"), 900)))
     kept = kept.where(~proof.rlike(NOT_ACCEPTED) & (formal | proof.rlike(ACCEPTED)))
     dates = F.array_compact(F.transform(F.concat(meta("citation_publication_date", "citation_date", "dc.date", "dcterms.date", "article:published_time", "date"), F.array("url")), lambda v: F.nullif(F.regexp_extract(v, "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit("")).cast("int")))
     near = F.get(F.filter(dates, lambda y: F.col("q_year").isNull() | (F.abs(y - F.col("q_year")) <= 3)), F.lit(0))

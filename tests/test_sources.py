@@ -111,6 +111,16 @@ def test_official_page(spark, index, items):
     assert (hit["venue_raw"], hit["year"], hit["pages"], hit["external_doi"], hit["publication_date"], hit["venue_evidence"]) == ("International Conference on Zeta Learning", 2023, "1-9", "10.1/x", "2023-06-01", "structured")
 
 
+def test_status_words_near_the_title(spark, index, items):
+    far, schema = "<p>" + "filler words " * 500 + "</p>", "item_key string, route_ord int, pos int, url string, html string, title string, snippet string"
+    entry = f"<p>{TITLE}, Ann Smith. %s International Conference on Zeta Learning 2023</p>"
+    hits = lambda html, title="", snippet="": P.page_hits(items, spark.createDataFrame([("a", 0, 0, "https://elsewhere.example/x", html, title, snippet)], schema), index, known=False).count()
+    assert hits("<p>Workshop program</p>" + far + entry % "Accepted at the") == 1
+    assert hits("<p>accepted</p>" + far + entry % "At the") == 0
+    assert hits(far + entry % "Accepted at the" + " submitted") == 0
+    assert hits(far + entry % "At the", "Accepted papers") == 1 and hits(far + entry % "Accepted at the", "", "under review") == 0
+
+
 def test_listings(spark):
     text = "# t\n## Domain One\n- A类期刊：AJ, Designs, Codes and Cryptography\n- B类会议：New Name（原 OLD、OLDER/OLDEST）, ZZ\nnoise\n## Two\n- C类会议：QQ"
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, line string")
