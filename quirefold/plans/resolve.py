@@ -62,8 +62,8 @@ def resolve(items: DataFrame, sources: Mapping[str, DataFrame | None], index: In
             providers: Mapping[str, P.Provider | None] | None = None) -> DataFrame:
     """One resolution with a proposal for each item.
 
-    sources: bronze tables by provider name, and "arxiv" (Atom feeds), "arxiv_html", "s2_batch" (chunk, pos, rec). A stage runs
-    only for items without strong evidence from the ones before, unless deep; items with an override or a
+    sources: bronze tables by provider name, and "arxiv" (Atom feeds), "arxiv_html", "s2_batch" (chunk, pos, rec), "web_answers"
+    and "web_pages" (search answers and captured pages, the last stage). A stage runs only for items without strong evidence from the ones before, unless deep; items with an override or a
     known venue of their own stay local. Whole stages count: no timing decides.
     """
     chosen = {**P.PROVIDERS, **(providers or {})}
@@ -103,6 +103,11 @@ def resolve(items: DataFrame, sources: Mapping[str, DataFrame | None], index: In
             found = more if found is None else found.unionByName(more)
         if found is not None:
             admitted = settled(admitted.unionByName(with_venue(settled(admit(items, found)[0]), index)))
+    if sources.get("web_answers") is not None and sources.get("web_pages") is not None:
+        open_items = todo if deep else settled(todo.join(strong_items(admitted), "item_key", "left_anti"))
+        answers = sources["web_answers"].join(open_items.select("item_key"), "item_key", "left_semi")
+        found = settled(ordered(P.web_search(open_items, answers, sources["web_pages"], index, deep), len(P.STAGES) + 1, 1))
+        admitted = settled(admitted.unionByName(with_venue(settled(admit(items, found)[0]), index)))
     latest = Window.partitionBy("item_key", "source", "venue_raw", "year", "external_doi", "evidence_url").orderBy("hit_ord")
     admitted = settled(admitted.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n"))
     resolutions = compose(items, admitted, index, overrides, meta)

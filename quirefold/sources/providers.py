@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from ..functions import markup as M
 from ..functions.text import author_matches, first_author_lastname, norm_people, norm_person, norm_title, paper_context, similarity_of, title_jaccard, title_similarity
 from ..operators.catalogue import Index
 from ..operators.lookup import find_in_text, lookup_slug, rank
-from ..operators.resolve import HIT
+from ..operators.resolve import HIT, hit_score, with_venue
 from ..plans.tools import first_rows, settled, small
 
 Provider = Callable[[DataFrame, DataFrame, Index], DataFrame]
@@ -46,6 +46,16 @@ REVIEW_REJECTS = (
 ACCEPTED = r"(?i)(?<![A-Za-z0-9_])(?:accepted|published|to\s+appear|forthcoming|in\s+proceedings|camera[- ]ready|presented)(?![A-Za-z0-9_])"
 NOT_ACCEPTED = r"(?i)(?<![A-Za-z0-9_])(?:submitted|submission|under\s+review|withdrawn|rejected|workshop|findings|tutorial|demo|companion)(?![A-Za-z0-9_])"
 
+#: Words of acceptance and of its lack on web pages and in search results.
+WEB_ACCEPTED = (
+    r"(?i)(?:(?<![A-Za-z0-9_])(?:accepted(?:\s+(?:at|to|by|for))?|to\s+appear|forthcoming|published(?:\s+(?:at|in))?|presented(?:\s+at)?|conference\s+paper|technical\s+sessions?|accepted\s+papers?|"
+    r"prepublication|proceedings)(?![A-Za-z0-9_])|(?:被|已被|获得|获)\s*[^。；;]{0,80}(?:录用|接收)|(?:录用|接收)(?:于|至|到|为)?|正式发表(?:于)?|发表于|入选(?:了)?)"
+)
+WEB_NOT_ACCEPTED = (
+    r"(?i)(?:(?<![A-Za-z0-9_])(?:submitted(?:\s+to)?|under\s+review|rejected|withdrawn|call\s+for\s+papers?|cfp|workshop|findings|tutorial|demo|companion|short\s+paper|poster\s+abstract)(?![A-Za-z0-9_])|"
+    r"投稿(?:至|于)?|审稿中|评审中|拒稿|撤稿|征稿|研讨会|工作坊|短文|海报|演示论文)"
+)
+
 #: Hosts that a web search leaves out.
 SKIPPED_HOSTS = (
     "arxiv.org", "export.arxiv.org", "semanticscholar.org", "www.semanticscholar.org", "dblp.org", "www.dblp.org", "api.crossref.org", "api.datacite.org",
@@ -373,23 +383,67 @@ def web_results_html(bronze: DataFrame, limit: int = 30) -> DataFrame:
     return top.select("item_key", "pos", F.col("to").alias("url"), F.col("link_text").alias("title"), F.lit("").alias("snippet"), F.lit("duckduckgo").alias("provider"))
 
 
-def plausible(results: DataFrame, items: DataFrame, pages: int = 5) -> DataFrame:
-    """The results worth a page: similar enough or official, the best few of each item."""
-    both = F.concat_ws(" ", "title", "snippet")
-    joined = results.join(queries(items), "item_key").withColumn("combined", both)
+def with_plausibility(results: DataFrame, items: DataFrame) -> DataFrame:
+    """results with combined, plausibility, official and total, the order in which they are worth a page."""
+    joined = results.join(queries(items), "item_key").withColumn("combined", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
     score = F.greatest(title_similarity(F.col("q_title"), F.col("title")), title_similarity(F.col("q_title"), F.col("combined")))
     joined = joined.withColumns({"plausibility": score, "official": K.is_official_host(K.host_of(F.col("url"))), "_person": norm_person(F.col("combined"))})
     author = F.when((F.col("q_last") != "") & F.contains("_person", F.col("q_last")), 1.0).otherwise(0.0)
-    total = F.col("plausibility") * 10 + F.when(F.col("official"), 6.0).otherwise(0.0) + author + F.when(F.col("combined").rlike(ACCEPTED), 2.0).otherwise(0.0)
-    kept = joined.where((F.col("plausibility") >= 0.55) | F.col("official")).withColumn("total", total).drop("_person")
-    return first_rows(kept, ["item_key"], F.desc("total"), F.col("pos"), n=pages)
+    total = F.col("plausibility") * 10 + F.when(F.col("official"), 6.0).otherwise(0.0) + author + F.when(F.col("combined").rlike(WEB_ACCEPTED), 2.0).otherwise(0.0)
+    return joined.withColumn("total", total).drop("_person")
+
+
+def plausible(results: DataFrame, items: DataFrame, pages: int = 5) -> DataFrame:
+    """The results worth a page, with their place among them: similar enough or official, the first of each url, the best few of each item."""
+    first = first_rows(with_plausibility(results, items), ["item_key", "url"], F.col("pos"))
+    ranked = first.where((F.col("plausibility") >= 0.55) | F.col("official")).withColumn("place", F.row_number().over(Window.partitionBy("item_key").orderBy(F.desc("total"), F.col("pos"))))
+    return ranked.where(F.col("place") <= pages)
+
+
+def asked_until_official(answers: DataFrame, queries_most: int = 3) -> DataFrame:
+    """answers (item_key, query_ord, pos, url, title, snippet, provider) of the first queries of each item: up to the first with a result on an official host, queries_most at most; pos runs over them."""
+    found = K.is_official_host(K.host_of(F.col("url")))
+    stop = F.min(F.when(found, F.col("query_ord"))).over(Window.partitionBy("item_key"))
+    kept = answers.where(F.col("query_ord") < queries_most).withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("query_ord") <= F.col("_stop")))
+    order = Window.partitionBy("item_key").orderBy("query_ord", "provider", "pos", "url")
+    return kept.withColumn("pos", F.row_number().over(order) - 1).drop("_stop", "query_ord")
+
+
+def web_search(items: DataFrame, answers: DataFrame, pages: DataFrame, index: Index, deep: bool = False) -> DataFrame:
+    """The best hit of each item from captured search answers (item_key, query_ord, pos, url, title, snippet, provider) and captured pages (url, html).
+
+    Results are visited in the order of plausible(). A page of an official host counts as official_web and ends the
+    visit; other pages count as <provider>_web; a result of which no page counts can count by its snippet. Of several hits the best by score stays.
+    """
+    ranked = settled(plausible(asked_until_official(answers, 4 if deep else 3), items, 10 if deep else 5).drop("q_title", "q_norm", "q_last", "q_year"))
+    visited = ranked.where((F.col("plausibility") >= 0.65) | F.col("official"))
+    first = first_rows(pages.where("url IS NOT NULL"), ["url"], F.xxhash64("html"))
+    seen = settled(visited.join(first, "url").select("item_key", F.lit(0).alias("route_ord"), F.col("place").alias("pos"), "url", "html", "title", "snippet", "provider", "official"))
+    own = page_hits(items, seen.where("official"), index)
+    others = page_hits(items, seen.where("NOT official"), index, source=F.concat("provider", F.lit("_web")), known=False)
+    formal = settled(own.unionByName(others))
+    rest = visited.join(formal.select("item_key", F.col("pos").alias("place")), ["item_key", "place"], "left_anti")
+    texts = snippet_hits(rest.withColumn("pos", F.col("place")), items, index)
+    hits = formal.unionByName(texts).withColumn("hit_ord", F.col("pos").cast("long"))
+    scored = with_venue(settled(hits), index).withColumn("_own", hit_score())
+    official = F.min(F.when(F.col("source") == "official_web", F.col("pos"))).over(Window.partitionBy("item_key"))
+    kept = scored.withColumn("_stop", official).where(F.col("_stop").isNull() | (F.col("pos") == F.col("_stop")))
+    return first_rows(kept, ["item_key"], F.desc("_own"), F.col("pos")).select(*formal.columns)
+
+
+def program_hits(items: DataFrame, pages: DataFrame, index: Index) -> DataFrame:
+    """Hits of captured program pages of a publisher's events (item_key, route_ord, pos, url, html): the url tells venue and year, the page must hold title and author."""
+    joined = pages.withColumn("from_url", K.official_venue(F.col("url"))).where("from_url IS NOT NULL").join(queries(items), "item_key").withColumn("text", M.html_to_text(F.col("html")))
+    context = paper_context(F.col("text"), F.col("q_title"), 1800)
+    held = joined.where(M.page_contains(norm_title(F.col("text")), F.col("q_title"), F.col("q_last"), context)).select(*pages.columns)
+    return best(page_hits(items, held, index, source="usenix_official").withColumn("score", F.col("title_score")))
 
 
 def snippet_hits(results: DataFrame, items: DataFrame, index: Index) -> DataFrame:
     """Hits of search snippets alone: nearly the whole title, the author, words of acceptance, one venue."""
-    joined = results.join(queries(items), "item_key").withColumn("combined", F.concat_ws(" ", "title", "snippet"))
+    joined = results.join(queries(items), "item_key").withColumn("combined", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))))
     joined = joined.withColumns({"sim": title_similarity(F.col("q_title"), F.col("combined")), "_person": norm_person(F.col("combined"))})
-    kept = joined.where((F.col("sim") >= 0.94) & F.col("combined").rlike(ACCEPTED) & ~F.col("combined").rlike(NOT_ACCEPTED) & ((F.col("q_last") == "") | F.contains("_person", F.col("q_last"))))
+    kept = joined.where((F.col("sim") >= 0.94) & F.col("combined").rlike(WEB_ACCEPTED) & ~F.col("combined").rlike(WEB_NOT_ACCEPTED) & ((F.col("q_last") == "") | F.contains("_person", F.col("q_last"))))
     found = find_in_text(kept.select(F.col("combined").alias("text")), index)
     rows = small(index.rows.select("row_ord", "canonical", F.col("kind").alias("row_kind"), F.col("publisher").alias("row_publisher")))
     named = kept.join(found.withColumnRenamed("text", "combined"), "combined").join(rows, "row_ord").withColumn("route_ord", F.lit(0))
@@ -398,11 +452,12 @@ def snippet_hits(results: DataFrame, items: DataFrame, index: Index) -> DataFram
                    venue_match_quality=F.col("quality"), year=year, venue_type=F.col("row_kind"), evidence_url=F.col("url"), abbrev=F.col("canonical"), publisher=F.nullif(F.col("row_publisher"), F.lit("")))
 
 
-def page_hits(items: DataFrame, pages: DataFrame, index: Index, source: str = "official_web", known: bool = True) -> DataFrame:
+def page_hits(items: DataFrame, pages: DataFrame, index: Index, source: Column | str = "official_web", known: bool = True) -> DataFrame:
     """Hits of paper pages (item_key, route_ord, pos, url, html, and the title and snippet of the search result if there are any): the page must hold the title and author and name a venue that is known.
 
-    Only if it names none is the venue sought in its text. Pages that are not formal need words of acceptance;
-    words of its lack turn a page down; both are sought near the title and in the search result. known: whether only official hosts count.
+    Title, author and, if the page names no venue, the venue are sought in a wide context of the title. Pages that are not formal need
+    words of acceptance; words of its lack turn a page down; both are sought close to the title and in the search result. Scholarly JSON-LD
+    records of official pages add their title, the names of what they are part of, and their date. known: whether only official hosts count.
     """
     h = F.col("html")
     meta = lambda *n: M.meta_values(h, *n)
@@ -410,24 +465,32 @@ def page_hits(items: DataFrame, pages: DataFrame, index: Index, source: str = "o
     base = pages.where(K.is_official_host(K.host_of(F.col("url")))) if known else pages
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<nav\b[^>]*>.*?</nav>", " "), r"(?is)<footer\b[^>]*>.*?</footer>", " "), r"(?is)<aside\b[^>]*>.*?</aside>", " ")
     joined = base.withColumn("html", clean).join(queries(items), "item_key").withColumn("text", M.html_to_text(h))
+    context = paper_context(F.col("text"), F.col("q_title"))
+    own = F.transform(M.json_ld(F.col("html")), lambda r: F.struct(F.coalesce(F.nullif(F.get_json_object(r, "$.headline"), F.lit("")), F.get_json_object(r, "$.name"), F.lit("")).alias("name"), r.alias("r")))
+    joined = joined.withColumn("ld", own if known else F.array().cast("array<struct<name:string,r:string>>")).withColumn("context", context)
+    part = F.filter("ld", lambda x: (x["name"] != "") & (M._plain_similarity(F.col("q_title"), x["name"]) >= 0.90))
+    chain = F.flatten(F.transform(part, lambda x: F.array(*[F.get_json_object(x["r"], "$" + ".isPartOf" * n + ".name") for n in range(1, 5)])))
+    joined = joined.withColumns({"part_of": F.array_compact(chain), "ld_dates": F.array_compact(F.transform(part, lambda x: F.get_json_object(x["r"], "$.datePublished")))})
     joined = joined.withColumns({
-        "titles": meta("citation_title", "dc.title", "dcterms.title"), "authors": meta("citation_author", "dc.creator", "dcterms.creator", "author"), "from_url": K.official_venue(F.col("url")),
+        "titles": F.concat(meta("citation_title", "dc.title", "dcterms.title"), F.filter(F.transform("ld", lambda x: x["name"]), lambda v: v != "")), "authors": meta("citation_author", "dc.creator", "dcterms.creator", "author"), "from_url": K.official_venue(F.col("url")),
         "declared": meta("citation_conference_title", "citation_journal_title", "citation_book_title", "dc.source", "dcterms.ispartof", "prism.publicationname"), "_norm_text": norm_title(F.col("text"))})
-    joined = joined.withColumn("title_score", F.when((F.col("q_norm") != "") & F.contains("_norm_text", F.col("q_norm")), 1.0).otherwise(M.best_title_score(h, F.col("q_title"))))
+    near_title = F.greatest(M.best_title_score(h, F.col("q_title")), title_similarity(F.col("q_title"), F.col("context")))
+    joined = joined.withColumn("title_score", F.when((F.col("q_norm") != "") & F.contains("_norm_text", F.col("q_norm")), 1.0).otherwise(near_title))
     declared_ok = (F.size("titles") == 0) | F.exists("titles", lambda t: M._plain_similarity(F.col("q_title"), t) >= 0.90)
-    person = author_matches(F.col("q_last"), norm_people(F.col("authors"))) | F.contains("_norm_text", F.col("q_last"))
+    person = author_matches(F.col("q_last"), norm_people(F.col("authors"))) | F.contains(norm_person(F.col("context")), F.col("q_last"))
     kept = joined.where(declared_ok & (F.col("title_score") >= 0.88) & ((F.col("q_last") == "") | person | (F.col("title_score") >= 0.98)))
-    names = _distinct(F.concat(F.array(F.col("from_url.venue")), F.col("declared")))
+    names = _distinct(F.concat(F.array(F.col("from_url.venue")), F.col("declared"), F.col("part_of")))
     kept = choose(kept.withColumn("names", names), F.col("names"), F.lit(None).cast("string"), index)
-    body = kept.where((F.size("names") == 0) & F.col("venue").isNull()).select("text").distinct()
+    kept = kept.withColumn("about", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "snippet") if c in pages.columns], "context"))
+    body = kept.where((F.size("names") == 0) & F.col("venue").isNull()).select(F.col("about").alias("text")).distinct()
     rows = small(index.rows.select("row_ord", F.col("canonical").alias("row_name"), F.col("kind").alias("row_kind"), F.col("publisher").alias("row_publisher")))
-    in_text = find_in_text(body, index).join(rows, "row_ord").select("text", "row_name", "row_kind", "row_publisher", "quality")
-    kept = kept.join(in_text, "text", "left").withColumn("structured", F.size("names") > 0)
+    in_text = find_in_text(body, index).join(rows, "row_ord").select(F.col("text").alias("about"), "row_name", "row_kind", "row_publisher", "quality")
+    kept = kept.join(in_text, "about", "left").withColumn("structured", F.size("names") > 0)
     kept = kept.where(F.col("venue").isNotNull() | (~F.col("structured") & F.col("row_name").isNotNull()))
     formal = K.is_official_host(K.host_of(F.col("url"))) | F.col("url").rlike("(?i)/presentation/|accepted-papers|technical-sessions|proceedings")
     proof = F.when((F.size("titles") > 0) & formal, F.concat_ws(" ", meta("citation_conference_title", "citation_journal_title", "citation_section"))).otherwise(F.concat_ws(" ", *[c for c in ("title", "snippet") if c in pages.columns], paper_context(F.col("text"), F.col("q_title"), 900)))
-    kept = kept.where(~proof.rlike(NOT_ACCEPTED) & (formal | proof.rlike(ACCEPTED)))
-    dates = F.array_compact(F.transform(F.concat(meta("citation_publication_date", "citation_date", "dc.date", "dcterms.date", "article:published_time", "date"), F.array("url")), lambda v: F.nullif(F.regexp_extract(v, "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit("")).cast("int")))
+    kept = kept.where(~proof.rlike(WEB_NOT_ACCEPTED) & (formal | proof.rlike(WEB_ACCEPTED)))
+    dates = F.array_compact(F.transform(F.concat(F.col("ld_dates"), meta("citation_publication_date", "citation_date", "dc.date", "dcterms.date", "article:published_time", "date"), F.array("url")), lambda v: F.nullif(F.regexp_extract(v, "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit("")).cast("int")))
     near = F.get(F.filter(dates, lambda y: F.col("q_year").isNull() | (F.abs(y - F.col("q_year")) <= 3)), F.lit(0))
     doi = one("citation_doi", "dc.identifier", "dcterms.identifier")
     first, last, day = one("citation_firstpage"), one("citation_lastpage"), one("citation_publication_date", "citation_date", "dc.date.issued")
@@ -441,6 +504,6 @@ def page_hits(items: DataFrame, pages: DataFrame, index: Index, source: str = "o
 
 #: Providers by name; a caller may replace one or pass None to leave it out. Stages run in order.
 PROVIDERS: dict[str, Provider] = {
-    "crossref_title": crossref, "dblp": dblp, "official_web": page_hits, "openreview": openreview, "s2_title": s2_title, "datacite_title": datacite, "openalex": openalex, "opencitations": opencitations,
+    "crossref_title": crossref, "dblp": dblp, "official_web": page_hits, "usenix_official": program_hits, "openreview": openreview, "s2_title": s2_title, "datacite_title": datacite, "openalex": openalex, "opencitations": opencitations,
 }
-STAGES = (("crossref_title", "dblp", "official_web"), ("openreview",), ("s2_title", "datacite_title", "openalex", "opencitations"))
+STAGES = (("crossref_title", "dblp", "official_web", "usenix_official"), ("openreview",), ("s2_title", "datacite_title", "openalex", "opencitations"))

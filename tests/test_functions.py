@@ -73,7 +73,7 @@ def test_entities(spark):
 
 
 def test_unique_and_authors(spark):
-    assert value(spark, T.unique_by(c("a"), F.transform(c("a"), F.lower)), a=["B ", "b", "", "a", "B"]) == ["B", "b", "a"] or True
+    assert value(spark, T.unique_by(c("a"), F.transform(c("a"), lambda v: F.lower(F.trim(v)))), a=["B ", "b", "", "a", "B"]) == ["B", "a"]
     assert value(spark, T.author_matches(F.lit(""), c("a")), a=["x"]) is True
     assert value(spark, T.author_matches(F.lit("le cun"), c("a")), a=["yann le cun"]) is True
 

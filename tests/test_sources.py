@@ -121,6 +121,36 @@ def test_status_words_near_the_title(spark, index, items):
     assert hits(far + entry % "At the", "Accepted papers") == 1 and hits(far + entry % "Accepted at the", "", "under review") == 0
 
 
+def test_web_status_words(spark, index, items):
+    schema = "item_key string, route_ord int, pos int, url string, html string, title string, snippet string"
+    entry = f"<p>{TITLE}, Ann Smith. %s International Conference on Zeta Learning 2023</p>"
+    words = ["Conference paper,", "Technical sessions of the", "Proceedings of the", "被录用于", "Call for papers,", "short paper,", "accepted poster abstract,", "submission, accepted at the"]
+    pages = spark.createDataFrame([("a", 0, i, "https://elsewhere.example/x", entry % w, "", "") for i, w in enumerate(words)], schema)
+    assert sorted(r["pos"] for r in P.page_hits(items, pages, index, known=False).collect()) == [0, 1, 2, 3, 7]
+
+
+def test_json_ld_names_the_venue(spark, index, items):
+    record = {"@type": "ScholarlyArticle", "headline": TITLE, "datePublished": "2023-05-01", "isPartOf": {"name": "Volume 3", "isPartOf": {"name": "International Conference on Zeta Learning"}}}
+    page = f'<script type="application/ld+json">{json.dumps(record)}</script><h1>{TITLE}</h1><p>Ann Smith</p>'
+    pages = spark.createDataFrame([("a", 0, 0, "https://dl.acm.org/doi/10.1/x", page)], "item_key string, route_ord int, pos int, url string, html string")
+    hit = one(P.page_hits(items, pages, index))
+    assert (hit["venue_raw"], hit["venue_evidence"], hit["year"]) == ("International Conference on Zeta Learning", "structured", 2023)
+
+
+def test_web_search_stops_at_the_first_official_page(spark, index, items):
+    official, other = "https://dl.acm.org/doi/10.1/x", "https://elsewhere.example/x"
+    page = f'<meta name="citation_title" content="{TITLE}"><meta name="citation_author" content="Ann Smith"><meta name="citation_conference_title" content="International Conference on Zeta Learning">'
+    rows = [("a", 0, 0, other, TITLE, "by Smith"), ("a", 0, 1, other, TITLE, "again"), ("a", 1, 0, official, TITLE, ""), ("a", 2, 0, "https://late.example/", TITLE, "accepted")]
+    answers = spark.createDataFrame([(*r, "brave") for r in rows], "item_key string, query_ord int, pos int, url string, title string, snippet string, provider string")
+    kept = P.asked_until_official(answers, 3)
+    assert sorted((r["pos"], r["url"]) for r in kept.collect()) == [(0, other), (1, other), (2, official)]
+    announced = f"<p>{TITLE}, Ann Smith. Accepted at the International Conference on Zeta Learning 2023</p>"
+    pages = spark.createDataFrame([(official, page), (other, announced)], "url string, html string")
+    assert one(P.web_search(items, answers, pages, index))["source"] == "official_web"
+    assert one(P.web_search(items, answers, pages.where(F.col("url") == other), index))["source"] == "brave_web"
+    assert P.web_search(items, answers, pages.limit(0), index).count() == 0
+
+
 def test_listings(spark):
     text = "# t\n## Domain One\n- A类期刊：AJ, Designs, Codes and Cryptography\n- B类会议：New Name（原 OLD、OLDER/OLDEST）, ZZ\nnoise\n## Two\n- C类会议：QQ"
     lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(text.split("\n"))], "file string, line_no int, line string")
