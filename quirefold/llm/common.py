@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,11 @@ SPACES = " \t\n\x0b\x0c\r"
 #: A side may be broadcast up to this many bytes, as counted, never as guessed.
 BROADCAST_BYTES = 8 << 20
 
+#: Bytes of an Arrow batch to Python, about: a batch ends with the row that passes them.
+ARROW_BYTES = 4 << 20
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,22 +38,30 @@ def bare(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on this machine alone gets a folder of its own; a cluster is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="quirefold-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches to Python end at ARROW_BYTES, so that long texts come few at a time. A value that the session has stays; else it holds from here on, so no job sees it change back."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Settings while a stage is written: its table replaces the shuffle files, and Python gets long texts in small batches.
-WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: While a stage is written: its table replaces the shuffle files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Stages:
@@ -59,20 +73,19 @@ class Stages:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+        bound_batches(spark)
         atexit.register(self._end)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = {k: self.spark.conf.get(k) for k in WHILE_KEPT}
+        before = self.spark.conf.get(CLEANUP)
         try:
-            for k, v in WHILE_KEPT.items():
-                self.spark.conf.set(k, v)
+            self.spark.conf.set(CLEANUP, "true")
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
-            for k, v in before.items():
-                self.spark.conf.set(k, v)
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -86,7 +99,11 @@ class Stages:
             pass
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows, at row_bytes each, stay within limit; else df as it is."""
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows, at row_bytes each and the weight of each, stay within limit; else df as it is."""
     most = limit // row_bytes
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    if df.limit(most + 1).count() > most:
+        return df
+    if weight is not None and (df.agg(F.sum(weight)).first()[0] or 0) + df.count() * row_bytes > limit:
+        return df
+    return F.broadcast(df)
