@@ -126,15 +126,15 @@ def _cut(schema: pa.Schema, length: int):
 
 def _repeats(docs: DataFrame, stages: Stages, length: int, seed: int) -> DataFrame:
     """(_q_doc, _q_row, starts, whole): the repeats of each document that has any; docs: _q_doc, _q_row, _q_key, text."""
-    least = stages.keep(docs.groupBy("_q_key").agg(F.min("_q_doc").alias("_q_least"), F.max("_q_doc").alias("_q_most")).where("_q_least < _q_most"), "equal")
+    least = docs.groupBy("_q_key").agg(F.min("_q_doc").alias("_q_least"), F.max("_q_doc").alias("_q_most")).where("_q_least < _q_most")
     copies = docs.select("_q_key", "_q_doc", "_q_row").join(least, "_q_key").where("_q_doc > _q_least").select("_q_doc", "_q_row").distinct()
     copies = stages.keep(copies, "copies")
     single = docs.select("_q_doc", "_q_row", "text").join(small(copies, 32), ["_q_doc", "_q_row"], "left_anti")
     anchors = stages.keep(single.mapInArrow(_anchors(length, seed), "anchor long, _q_doc long, _q_row long"), "anchors")
-    shared = stages.keep(anchors.groupBy("anchor").agg(F.min("_q_doc").alias("a"), F.max("_q_doc").alias("b")).where("a < b").select("anchor"), "shared")
+    shared = stages.keep(anchors.groupBy("anchor").agg(F.min("_q_doc").alias("a"), F.max("_q_doc").alias("b")).where("a < b").select("anchor"), "shared")  # a table of its own, so the join with it can split a hot anchor
     seeds = anchors.join(shared, "anchor").groupBy("_q_doc", "_q_row").agg(F.collect_list("anchor").alias("anchors"))  # no more than the document's words
     seeds = stages.keep(seeds, "seeds")
-    stages.drop("anchors", "shared", "equal")
+    stages.drop("anchors", "shared")
     runs = docs.select("_q_doc", "_q_row", "text").join(seeds, ["_q_doc", "_q_row"])
     runs = stages.keep(runs.mapInArrow(_extended(length, seed), "h1 long, h2 long, _q_doc long, _q_row long, at int"), "runs")
     stages.drop("seeds")
