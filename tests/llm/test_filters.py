@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -19,12 +21,22 @@ def test_licence_digests(spark):
     mit = dict(licences.LICENCE_TEXTS[:1])["MIT"]
     british = "Copyright (c) 2020 Someone\n\n" + mit.replace("sublicense", "sub-licence").upper() + "\nAll rights reserved."
     rows = [(1, british), (2, mit + " And more."), (3, None), (4, ""), (5, "x\nReleased under the MIT licence!\nLicensed under CC BY-NC 4.0."), (5, "x\nReleased under the MIT licence!\nLicensed under CC BY-NC 4.0."), (6, "word " * 30_000)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence_id", F.lit("clash")).withColumn("known_digests", F.lit(1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("licence_id", F.lit("clash")).withColumn("known_digests", F.lit(1)).withColumn("known_digest", F.lit(1)).withColumn("licence_digest", F.lit("clash"))
     out = [(r["doc_id"], r["licence_id"], r["notice_ids"]) for r in licences.scan_licences(frame).collect()]
     assert sorted(out, key=lambda x: x[0]) == [(1, "MIT", []), (2, None, []), (3, None, []), (4, None, []), (5, None, ["CC-BY-NC-4.0", "MIT"]), (5, None, ["CC-BY-NC-4.0", "MIT"]), (6, None, [])]
     assert licences.scan_licences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts installed")
+def test_whole_licence_documents_match(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    texts = {i: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for f, i in names.items()}
+    rows = [(i, t) for i, t in texts.items()] + [(i, "Copyright 2024 Someone Else\n" + " ".join(t.upper().split())) for i, t in texts.items() if i in ("MPL-2.0", "CC0-1.0")]
+    rows += [(None, texts["Apache-2.0"] + "\nand one more clause")]
+    found = licences.scan_licences(spark.createDataFrame(rows, "want string, text string")).select("want", "licence_id").collect()
+    assert len(found) == len(rows) and all(r["want"] == r["licence_id"] for r in found if r["want"]) and [r["licence_id"] for r in found if not r["want"]] == [None]
+
+
 def test_line_wraps_do_not_change_a_licence(spark):
     mit = dict(licences.LICENCE_TEXTS[:1])["MIT"]
     flat = " ".join(mit.split())
@@ -78,6 +90,20 @@ def test_drop_leaks(spark):
     assert sorted(r["lang"] for r in kept.collect()) == ["y", "z"] and kept.columns == docs.columns
 
 
+def test_long_runs_do_not_overflow_the_stack(spark):
+    rows = [(1, "Hahe " * 60_000), (2, "x 1.2" + ".3" * 100_000), (3, "Some " * 30_000 + ". " + QUESTION)]
+    assert {i for i, _ in leaks(spark, rows, [(1, QUESTION)])} == {3}
+
+
+def test_placeholder_characters_and_column_names(spark):
+    marks = decontaminate.NUM + decontaminate.NAME + decontaminate.UNIT
+    bench = [(1, "one two three four five six seven eight"), (2, "single")]
+    assert leaks(spark, [(1, f"one two{marks}three four five six seven eight"), (2, "one " + marks), (3, "a single word")], bench) == {(1, 1), (3, 2)}
+    docs = spark.createDataFrame([(1, "text", "a", 5)], "doc_id long, text string, key string, hash int")
+    kept = decontaminate.drop_leaks(docs, spark.createDataFrame(bench, "item_id long, text string"))
+    assert [tuple(r) for r in kept.collect()] == [(1, "text", "a", 5)] and kept.columns == docs.columns
+
+
 # ------------------------------------------------------------- urls
 
 
@@ -130,6 +156,12 @@ def test_quality_matches_brute_force(spark):
     assert cascade.keep_quality(frame.limit(0)).count() == 0
 
 
+def test_a_costly_rule_that_rejects_little_comes_after_a_cheap_one_that_rejects_much(spark):
+    frame = spark.createDataFrame([(i, " ".join(f"w{i}x{k % 700}" for k in range(20 if i % 2 else 1500))) for i in range(400)], "doc_id long, text string")
+    orders = {tuple(r.name for r in cascade.ordered_rules(cascade.with_word_count(frame))) for _ in range(2)}
+    assert all(o[0] == "too_few_words" for o in orders)
+
+
 def test_order_does_not_change_what_is_kept(spark):
     frame = spark.createDataFrame([(i, "a b c " * i) for i in range(40)], "doc_id long, text string")
     counted = cascade.with_word_count(frame)
