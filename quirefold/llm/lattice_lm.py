@@ -213,11 +213,12 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def train(lexicon: DataFrame, pieces: Pieces, n_train: int, passes: int = PASSES) -> tuple[np.ndarray, float]:
-    """(probability of each piece, of the end) after passes over lexicon (word, c); they sum to 1."""
+    """(probability of each piece, of the end) after passes over lexicon (word, c); they sum to 1. Without passes the
+    vocabulary's own scores stay the pieces' distribution, and one pass only counts pieces for the end."""
     spark = lexicon.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
     p, total = pieces.first, 0.0
-    for _ in range(passes):
+    for _ in range(max(passes, 1)):
         now = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
@@ -232,7 +233,8 @@ def train(lexicon: DataFrame, pieces: Pieces, n_train: int, passes: int = PASSES
         for r in rows:
             counts[r["piece"]] = r["n"]
         total = float(counts.sum())
-        p = (counts + PRIOR * pieces.first) / (total + PRIOR)
+        if passes:
+            p = (counts + PRIOR * pieces.first) / (total + PRIOR)
     end = (n_train + 1.0) / (total + n_train + 2.0)
     return p * (1.0 - end), end
 

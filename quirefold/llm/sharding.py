@@ -29,7 +29,7 @@ BUCKET_BITS = 12
 CHUNK = 10_000
 
 #: Enough walks: below 64 * 64 rows the walk visits each number outside at most once; beyond, a walk goes
-#: on with a chance under 1 / sqrt(N) a step.
+#: on with a chance under 1 / sqrt(N) a step. A walk that is longer still is an error, never a wrong place.
 MAX_WALKS = 64
 
 
@@ -52,7 +52,7 @@ def permuted(x: str, n: int, seed: int = SEED) -> Column:
     first = once(f"cast({x} as bigint)")
     if not walks:
         return F.expr(first)
-    walked = f"aggregate(sequence(1, {walks}), {first}, (y, _) -> if(y < {n}L, y, {once('y')}))"
+    walked = f"aggregate(sequence(1, {walks}), {first}, (y, _) -> if(y < {n}L, y, {once('y')}), y -> if(y < {n}L, y, raise_error('a cycle walk did not end')))"
     return F.expr(walked)
 
 
@@ -103,8 +103,10 @@ def feistel_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, stages
     All columns are key columns and must be groupable: project to what identifies a row first. Nulls
     are values like others. Rows equal in all columns are interchangeable; they are counted before the
     shuffle and dealt out afterwards, so that a row with many copies loads no single task. An empty
-    table gives no rows. Columns of df called row_number, shard or slot, or that begin with "_q_", must be renamed before.
+    table gives no rows. Columns of df called row_number, shard or slot, or that begin with "_q_", are an error: rename them before.
     """
+    if clash := [c for c in df.columns if c.lower() in ("row_number", "shard", "slot") or c.lower().startswith("_q_")]:
+        raise ValueError(f"columns with reserved names: {', '.join(clash)}")
     stages = stages or Stages(df.sparkSession)
     keys = df.columns
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_q_n")).withColumn("_q_h", F.xxhash64(*keys))

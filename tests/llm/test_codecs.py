@@ -104,6 +104,32 @@ def test_scores_match_brute_force(spark):
     assert lattice_lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), lattice_lm.vocabulary_path()).count() == 0
 
 
+def test_score_sums_segmentations_of_every_word(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat sat on", "a cat", "zzq the", None, "on on on the mat"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in lattice_lm.score_documents(docs, lattice_lm.vocabulary_path(), passes=0).collect()}
+    pieces = lattice_lm.Pieces.load(lattice_lm.vocabulary_path())
+    trained = [1 for d, _ in rows if not lattice_lm.held_out(d)]
+    counts = Counter(w for d, t in rows if not lattice_lm.held_out(d) for w in brute.words(t))
+    p, end = lattice_lm.train(spark.createDataFrame(list(counts.items()), "word string, c long"), pieces, len(trained), 0)
+    table = dict(zip(pieces.texts, p))
+
+    def total(s):
+        ways = [1.0] + [0.0] * len(s)
+        for j in range(1, len(s) + 1):
+            for i in range(j):
+                own = table.get(s[i:j], 0.0)
+                if j == i + 1:
+                    own += math.prod(p[len(pieces.texts) + b] for b in s[i].encode())
+                ways[j] += ways[i] * own
+        return ways[-1]
+
+    assert counts and sum(p) + end == pytest.approx(1.0)
+    for d, t in rows:
+        want = sum(math.log10(total("▁" + w)) for w in brute.words(t)) + math.log10(end)
+        assert got[d][0] == pytest.approx(want, rel=1e-9)
+
+
 def test_training_helps_held_out_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     score = lambda passes: lattice_lm.score_documents(docs, lattice_lm.vocabulary_path(), passes=passes).where("held_out").agg(F.sum("score")).first()[0]
@@ -128,6 +154,16 @@ def test_shards_are_a_reproducible_permutation(spark):
             assert sharding.row_number(r["shard"], r["slot"], n, 7) == r["row_number"]
 
 
+def test_shards_match_a_plain_numbering(spark):
+    rows = [(i, f"t{i % 700}") for i in range(900)] + [(5, "t5")] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [(r["h"], r["doc_id"], r["text"]) for r in frame.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").collect()]
+    want = Counter((d, t, *sharding.locate(n, len(keyed), 7)) for n, (_, d, t) in enumerate(sorted(keyed)))
+    assert Counter(tuple(r) for r in sharding.feistel_shards(frame, 7).select("doc_id", "text", "shard", "slot").collect()) == want
+    with pytest.raises(ValueError, match="shard"):
+        sharding.feistel_shards(frame.withColumn("Shard", F.lit(1)))
+
+
 def test_shards_of_copies_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CHUNK", 10)
     frame = spark.createDataFrame([(None, None)] * 95 + [(1, "a")] * 3 + [(2, None)], "doc_id long, text string")
