@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, read, small
+from .common import Stages, bound_batches, read, small
 
 #: Payloads from this many bytes on may be revisits.
 LEAST_BYTES = 1000
@@ -29,8 +29,8 @@ LEAST_BYTES = 1000
 #: Records up to this far apart are read at once, up to so many bytes a read.
 GAP_BYTES, RANGE_BYTES = 64 << 10, 1 << 20
 
-#: Bytes of an archive that one reading task takes.
-SPAN_BYTES = 32 << 20
+#: Bytes of an archive that one reading task takes, about.
+SPAN_BYTES = 8 << 20
 
 LEVEL = 1
 DATE = "2026-01-01T00:00:00Z"
@@ -156,7 +156,11 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
             f.close()
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-    spans = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / SPAN_BYTES)).sortWithinPartitions("file", "offset")
+    bound_batches(index.sparkSession)
+    placed = index.select("file", "offset", "length")
+    total, files = placed.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("file")).first()
+    tasks = max(1, files, -(-total // SPAN_BYTES))  # a number of its own, else tasks are merged by the bytes of the index, not of the archives
+    spans = placed.repartition(int(tasks), "file", F.floor(F.col("offset") / SPAN_BYTES)).sortWithinPartitions("file", "offset")
     return spans.mapInArrow(run, RECORD)
 
 

@@ -160,7 +160,7 @@ def test_shards_match_a_plain_numbering(spark):
     keyed = [(r["h"], r["doc_id"], r["text"]) for r in frame.select(F.xxhash64("doc_id", "text").alias("h"), "doc_id", "text").collect()]
     want = Counter((d, t, *sharding.locate(n, len(keyed), 7)) for n, (_, d, t) in enumerate(sorted(keyed)))
     assert Counter(tuple(r) for r in sharding.feistel_shards(frame, 7).select("doc_id", "text", "shard", "slot").collect()) == want
-    with pytest.raises(ValueError, match="shard"):
+    with pytest.raises(ValueError, match="Shard"):
         sharding.feistel_shards(frame.withColumn("Shard", F.lit(1)))
 
 
