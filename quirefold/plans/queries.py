@@ -178,9 +178,9 @@ def q_official_venue(spark, sf):
     return _t(spark, sf, "nation", "n_nationkey").withColumn("v", K.official_venue(url)).select("n_nationkey", "v.venue", "v.year")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 130 >= 70 AND o_orderkey % 130 < 100 THEN 1900 + o_orderkey % 130 ELSE 2000 + o_orderkey % 130 - CASE WHEN o_orderkey % 130 >= 100 THEN 100 ELSE 0 END END::BIGINT AS year FROM orders WHERE o_orderkey % 130 < 100")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 100 >= 70 THEN 1900 + o_orderkey % 100 ELSE 2000 + o_orderkey % 100 END::BIGINT AS year FROM orders")
 def q_full_year(spark, sf):
-    return _t(spark, sf, "orders", "o_orderkey").where("o_orderkey % 130 < 100").select("o_orderkey", K.full_year(F.col("o_orderkey") % 130).alias("year"))
+    return _t(spark, sf, "orders", "o_orderkey").select("o_orderkey", K.full_year(F.col("o_orderkey") % 100).alias("year"))
 
 
 # ---------------------------------------------------------------- markup

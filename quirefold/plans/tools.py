@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +18,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed and written to the checkpoint folder that the session names (an own one where it names none).
+    """df computed and written to the checkpoint folder that the session names; only a session on this machine alone may name none.
 
     Plans that use a result several times then start from it, and a lost executor costs no more than one stage.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quirefold-"))
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
+        context.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="quirefold-"))
     return df.checkpoint(eager=True)
 
 
@@ -36,10 +40,10 @@ def first_rows(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> Da
 def chunks(df: DataFrame, key: str, order: Column, size: int) -> DataFrame:
     """The distinct values of key, in order of first appearance, with chunk and pos: size to a chunk.
 
-    Numbers come from a count of each of 1024 hash-independent ranges of order, so no task sees all keys at once.
+    Numbers come from a count of each of the session's ranges of order, which stand in a written table, so no task sees all keys at once.
     """
     first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_at"))
-    ranged = first.repartitionByRange(F.col("_at"), F.col(key)).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = settled(first.repartitionByRange(F.col("_at"), F.col(key)).withColumn("_part", F.spark_partition_id()))
     own = Window.partitionBy("_part").orderBy("_at", key)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
