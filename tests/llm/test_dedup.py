@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,68 @@ def test_recall_just_over_the_threshold(spark):
     assert len(set(want.values())) == 150 and missed <= 2
 
 
+def test_pairs_among_texts_with_a_shared_opening(spark):
+    random.seed(21)
+    opening, rows = " ".join(f"o{i}" for i in range(30)) + " ", []
+    for i in range(100):
+        rows.append(opening + " ".join(f"s{i}x{k}" for k in range(45)))
+    for i in range(10):
+        body = [f"p{i}x{k}" for k in range(45)]
+        rows += [opening + " ".join(body), opening + " ".join(edited(body, 0.2, f"q{i}"))]
+    random.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute.classes(rows)
+    assert len(set(want.values())) == 110
+    assert dict(order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").collect()) == want
+
+
+@pytest.mark.parametrize("block", [250, 9])
+def test_texts_that_are_mostly_one_passage(spark, block):
+    random.seed(31)
+    passage, common, rows = " ".join(f"p{i}" for i in range(120)), [f"c{i}" for i in range(40)], []
+    for i in range(70):
+        rows.append(passage + " " + " ".join(random.choices(common, k=random.randrange(34, 58))))
+    rows = list(enumerate(rows))
+    want = brute.classes(rows)
+    assert len(set(want.values())) > 1
+    assert dict(order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).select("doc_id", "class_id").collect()) == want
+
+
+def test_first_qgrams_of_near_duplicates_meet():
+    random.seed(41)
+    for q in order_minhash.QGRAMS:
+        for _ in range(200):
+            size = random.randrange(5, 60)
+            a = [random.randrange(30) for _ in range(size)]
+            b = edited(a, random.choice([0.05, 0.1, 0.2]), 100) if random.random() < 0.5 else a[random.randrange(size // 5 + 1) :]
+            b = [hash(x) for x in b]
+            if not b or brute.distance(a, b) > int(0.2 * max(len(a), len(b)) + 1e-9):
+                continue
+            firsts = []
+            for w in (a, b):
+                values, bounds = order_minhash._qgrams(np.array(w, np.int64).astype(np.uint64), np.array([len(w)]), q)
+                need = max(1, int(np.ceil((1 - q * 0.2) * len(w) - q + 1 - 1e-6)))
+                firsts.append(set(np.sort(values)[: len(values) - need + 1].tolist()))
+            assert firsts[0] & firsts[1]
+
+
+def test_edit_distance_of_very_long_texts():
+    random.seed(51)
+    a = [f"w{i}" for i in range(20_000)] + ["the"] * 200
+    b = edited(a, 0.01, "x")
+    assert order_minhash.edit_distance(a, b, 4000) == sum(x != y for x, y in zip(a, b))
+    assert order_minhash.edit_distance(a[:6000], [f"y{i}" for i in range(6000)], 1200) is None
+    for _ in range(50):
+        c = [random.randrange(6) for _ in range(40)]
+        d = [random.randrange(6) for _ in range(40)]
+        narrow = order_minhash.edit_distance(c, d, 30)
+        order_minhash.WHOLE_MASKS, kept = 0, order_minhash.WHOLE_MASKS
+        try:
+            assert order_minhash.edit_distance(c, d, 30) == narrow
+        finally:
+            order_minhash.WHOLE_MASKS = kept
+
+
 def test_counters_refute_no_near_duplicate(spark):
     random.seed(8)
     base = random.choices([f"w{i}" for i in range(50)], k=2000)
