@@ -23,7 +23,7 @@ from .common import SPACES, bare, read, words
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 
 #: How often the sample's rows are judged in a timed job, so that its work outweighs its start, and how often it is timed.
-COPIES, RUNS = 8, 3
+COPIES, RUNS = 4, 2
 
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
