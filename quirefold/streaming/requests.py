@@ -6,6 +6,8 @@ goes to the network. watch_log() applies the latest-response rule to a stream.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,22 +83,27 @@ def breaker(log: DataFrame) -> DataFrame:
     """
     schema = "host string, ts_ms long, status int, retry_after_ms long, key string, allowed boolean"
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, until, failures, allowed = part.sort_values(["ts_ms", "key"], kind="stable"), 0, 0, []
-        for ts, status, wait in zip(part["ts_ms"], part["status"], part["retry_after_ms"]):
-            allowed.append(bool(ts >= until))
-            if not allowed[-1]:
-                continue
-            if status in (429, 403):
-                until = ts + (LIMITED_MS if status == 403 or pd.isna(wait) else int(wait))
-            elif status == 0 or status >= 500:
-                failures += 1
-                until = ts + BREAK_MS if failures >= BREAK_AFTER else until
-            elif 200 <= status < 300:
-                failures = 0
-        return part.assign(allowed=allowed)
-
-    return log.select("host", "ts_ms", "status", "retry_after_ms", "key").groupBy("host").applyInPandas(fold, schema)
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, until, failures = object(), 0, 0
+        for part in parts:  # sorted by host and time; the state goes from batch to batch, so a host's log is never held whole
+            allowed = []
+            for own, ts, status, wait in zip(part["host"], part["ts_ms"], part["status"], part["retry_after_ms"]):
+                if own != host:
+                    host, until, failures = own, 0, 0
+                allowed.append(bool(ts >= until))
+                if not allowed[-1]:
+                    continue
+                if status in (429, 403):
+                    until = ts + (LIMITED_MS if status == 403 or pd.isna(wait) else int(wait))
+                elif status == 0 or status >= 500:
+                    failures += 1
+                    until = ts + BREAK_MS if failures >= BREAK_AFTER else until
+                elif 200 <= status < 300:
+                    failures = 0
+            yield part.assign(allowed=allowed)
+
+    ordered = log.select("host", "ts_ms", "status", "retry_after_ms", "key").repartition("host").sortWithinPartitions("host", "ts_ms", "key")
+    return ordered.mapInPandas(fold, schema)
 
 
 def within_budgets(requests: DataFrame, item_limit: int = 28, source_limit: int = 6) -> DataFrame:
